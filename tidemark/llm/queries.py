@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, langid, pii, repeats, sentencepieces, token_counts, url_filter, vafile
+from tidemark.llm import chat, decontaminate, langid, pii, repeats, sentencepieces, setjoin, token_counts, url_filter, vafile
 from tidemark.llm.common import table
 
 PIECES = token_counts.public_model("piece_bpe_32k.model")
 MOST_TOKENS = 4_096
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0)
 
@@ -56,8 +60,9 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_topk, op3_decontamination, op4_sentencepiece, op5_url_filter, op6_token_counts, op7_language_id, op8_pii, op9_chat_format, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_exact_topk, op3_decontamination, op4_sentencepiece, op5_url_filter, op6_token_counts, op7_language_id, op8_pii, op9_chat_format, op10_suffix_dedup)}
 ORACLE_SQL = {
+    "op1_ngram_jaccard": setjoin.ORACLE,
     "op2_exact_topk": vafile.ORACLE,
     "op3_decontamination": decontaminate.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
