@@ -38,7 +38,7 @@ _QUAD = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CHAIN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?:IBAN)?[:\x20]*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])", re.IGNORECASE | re.ASCII)
+_IBAN = re.compile(r"(?:IBAN)?[:\x20]*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,38})(?![A-Za-z0-9])", re.IGNORECASE | re.ASCII)
 _ACCOUNT = re.compile(r"(?:account|acct)(?:\x20(?:number|no\.?|id))?[\x20]?[:#=]?[\x20]?([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9])", re.IGNORECASE | re.ASCII)
 _SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
 _LOGIN = re.compile(r"://[^\s/?#@:]+:[^\s/?#@]+@[A-Za-z0-9.-]+")
@@ -129,9 +129,13 @@ def spans(text: str | None) -> list[Span]:
                 login_end = m.end()
         elif what == "iban":
             start = last - size + 1
-            if start >= iban_end and (m := _IBAN.match(text, start)) and _iban(m[1]):
-                found["iban"].append(m.span(1))
-                iban_end = m.end()
+            if start >= iban_end and (m := _IBAN.match(text, start)):
+                number = m[1]
+                while " " in number and not _iban(number):  # words that follow look like groups of it
+                    number = number[: number.rindex(" ")]
+                if _iban(number):
+                    iban_end = m.start(1) + len(number)
+                    found["iban"].append((m.start(1), iban_end))
         elif what == "account":
             start = last - size + 1
             if start >= account_end and (m := _ACCOUNT.match(text, start)):
