@@ -29,9 +29,11 @@ def scratch(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage ends there."""
-    path = scratch(df.sparkSession)
+    spark = df.sparkSession
+    path = scratch(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()  # the driver's cleaner then removes the shuffle files that led here
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -336,7 +336,8 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeat_marks(x: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """k1, k2, start, stop: byte ranges of ``x`` (k1, k2, text) that repeat."""
     found = cut(x.select("k1", "k2", "text").mapInArrow(_segment_rows, _SEGMENT))
-    by_anchor = found.groupBy("anchor").agg(F.count("*").alias("seen"), (F.min("content") == F.max("content")).alias("alike")).where("seen > 1").select("anchor", "alike")
+    # sums are written before they are joined, else the join shares their exchange and a hot anchor can't be split
+    by_anchor = cut(found.groupBy("anchor").agg(F.count("*").alias("seen"), (F.min("content") == F.max("content")).alias("alike")).where("seen > 1").select("anchor", "alike"))
     again = cut(found.join(by_anchor, "anchor"))
     end = F.col("first") + F.col("windows") + WINDOW - 1
     alike = again.where("alike").select("k1", "k2", F.col("first").alias("start"), end.cast("int").alias("stop"))
@@ -345,7 +346,7 @@ def repeat_marks(x: DataFrame, bucket: int = BUCKET) -> DataFrame:
     copies = again.where("not alike").join(classes.where("n > 1").select("anchor", "content"), ["anchor", "content"]).select("k1", "k2", F.col("first").alias("start"), end.cast("int").alias("stop"))
     asked = classes.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "first", "windows", "at", "n")).alias("marks"))
     pieces = cut(x.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "marks").mapInArrow(_piece_rows, _PIECE))
-    sizes = pieces.groupBy("anchor", "core").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1 and least = 1")
+    sizes = cut(pieces.groupBy("anchor", "core").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1 and least = 1"))
     shared = pieces.join(sizes, ["anchor", "core"])
     small = shared.where(F.col("size") <= bucket).drop("size", "least").repartition("anchor", "core").sortWithinPartitions("anchor", "core").mapInArrow(_sort_buckets, _MARK)
     windows = shared.where(F.col("size") > bucket).drop("size", "least").mapInArrow(_window_rows, "anchor long, core long, window long, w int, k1 long, k2 int, p int, n long")
