@@ -28,14 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import by_bytes, fresh
+from tidemark.llm.common import by_bytes, fresh, release
 
 FIT_DOCS = 2_000
 MAX_LANGS = 256
 BUCKETS = 1 << 15
 SWITCH = 14.0
 BLOCK = 64
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 UNKNOWN = "und"
 ALPHA = 0.5
 RARE = 0.005  # a language uses a script that holds this share of its letters
@@ -52,9 +52,10 @@ _LETTERS: list[np.ndarray] = []
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: whether it is a letter, and its lower case if that is one character."""
     if not _LETTERS:
-        points = [chr(i) for i in range(0x110000)]
-        low = [c.lower() for c in points]
-        _LETTERS[:] = [np.array([c.isalpha() for c in points]), np.array([ord(x) if len(x) == 1 else i for i, x in enumerate(low)], dtype=np.uint32)]
+        _LETTERS[:] = [
+            np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000),
+            np.fromiter((ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(0x110000)), dtype=np.uint32, count=0x110000),
+        ]
     return _LETTERS[0], _LETTERS[1]
 
 
@@ -231,6 +232,7 @@ def predict(df: DataFrame, text: str, model: Model | None, penalty: float = SWIT
             found = label_texts(shared.value, b.column(at).to_pylist(), penalty)
             spans = [[{"lang": x, "start": s, "end": e} for x, s, e in f[2]] for f in found]
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, _ARROW_SPANS)], names=[*names, *new])
+        release()
 
     return df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(work)).mapInArrow(run, schema)
 

@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import by_bytes, fresh
+from tidemark.llm.common import by_bytes, fresh, release
 from tidemark.llm.token_counts import MARK, Counter
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 BATCH_BYTES = 1 << 20
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 THREADS = 2
 
 
@@ -236,6 +236,8 @@ def encode(df: DataFrame, text: str, resolve: Callable[[], str], out: str = "ids
             ids, begin, same = codec(path).encode(b.column(at).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[:at], lists, pa.array(same)], names=[*names, out, "parity"])
+        codec(path).clear()
+        release()
 
     return df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(work)).mapInArrow(run, schema)
 
@@ -280,5 +282,7 @@ def round_trip(df: DataFrame, text: str, resolve: Callable[[], str], keep_ids: b
                 data, at_byte = ids.astype("<i4").tobytes(), (begin * 4).tolist()
                 kept = pa.array([hashlib.sha256(data[x:y]).hexdigest() for x, y in zip(at_byte[:-1], at_byte[1:], strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(np.diff(begin), pa.int64()), kept, pa.array(same), pa.array(exact)], names=schema.names)
+        codec(path).clear()
+        release()
 
     return df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(work)).mapInArrow(run, schema)

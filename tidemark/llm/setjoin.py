@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_bytes, cut, whole_groups
+from tidemark.llm.common import by_bytes, cut, release, whole_groups
 from tidemark.llm.components import components
 from tidemark.llm.decontaminate import text_buffers, words_of
 
@@ -147,6 +147,7 @@ def _embed(runs: int, least: float):
                 [b.column(0), pa.array(name, pa.binary()), pa.array([packed[slot[i]].tobytes() if i in slot else None for i in range(b.num_rows)], pa.binary()), pa.array([mins[slot[i]].tobytes() if i in slot else None for i in range(b.num_rows)], pa.binary()), pa.array(paths, pa.list_(pa.int64()))],
                 names=["id", "set", "sketch", "mins", "paths"],
             )
+        release()
 
     return run
 
@@ -261,6 +262,7 @@ def _compare(least: float):
                 at = end
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], names=["u", "v", "links"])
+        release()
 
     return run
 
