@@ -68,6 +68,7 @@ def release() -> None:
     import gc
 
     gc.collect()
+    pa.default_memory_pool().release_unused()
     libc = ctypes.CDLL(None)
     if hasattr(libc, "malloc_trim"):
         libc.malloc_trim(0)
