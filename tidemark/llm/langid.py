@@ -245,5 +245,12 @@ def held_out(key: Column) -> Column:
 def keep_known(docs: DataFrame, key: str, text: str, lang: str, least: float = 0.5) -> DataFrame:
     """``docs`` without texts of no language and those whose main language holds less than ``least`` of the letters."""
     model = fit(docs.where(~held_out(F.col(key))), key, text, lang)
-    marked = predict(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), "text", model)
-    return marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, at, BATCH_BYTES):
+            found = label_texts(shared.value, b.column(at).to_pylist())
+            yield b.filter(pa.array([f[0] != UNKNOWN and f[1] >= least for f in found], pa.bool_()))
+        release()
+
+    return docs.mapInArrow(run, docs.schema)
