@@ -363,6 +363,22 @@ def test_repeats(spark, bucket):
         assert repeats.remove_repeats(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_repeats_at_chunk_borders(spark):
+    """Texts of several chunks: a run of windows with one anchor goes on behind a border, and nothing else repeats."""
+    r = np.random.default_rng(5)
+    long = lambda n: r.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    a, b = long(2 * repeats.CHUNK + 5_000), long(repeats.CHUNK + 400)
+    rows = [(1, a), (2, b), (3, a[repeats.CHUNK - 150 : repeats.CHUNK + 450]), (4, long(900))]
+    for text in (a, b):
+        runs = repeats.segments(np.frombuffer(text.encode(), dtype=np.uint8))
+        first, windows, at = (np.concatenate([x[i] for x in runs]) for i in (2, 3, 4))
+        assert first[0] == 0 and (first[1:] == (first + windows)[:-1]).all() and first[-1] + windows[-1] == len(text) - repeats.WINDOW + 1
+        assert len(set(at.tolist())) == len(at)
+    for part in (rows[:1], rows):
+        df = spark.createDataFrame(part, DOCS)
+        assert got(repeats.remove_repeats(df, "doc_id", "text")) == repeats_brute(part)
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 

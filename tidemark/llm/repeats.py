@@ -87,14 +87,23 @@ def anchors(hashed: Hashed, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments(data: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """(anchor hash, content hash, first window, windows, anchor place) of a text's segments, in chunks."""
+    """(anchor hash, content hash, first window, windows, anchor place) of a text's segments, in chunks.
+
+    A chunk but the last leaves its last run out, which may go on behind it; the next one begins with that run.
+    """
     out = []
-    for base in range(0, max(0, len(data) - WINDOW + 1), CHUNK):
+    base, n = 0, len(data) - WINDOW + 1
+    while base < n:
         part = data[base : base + CHUNK + WINDOW - 1]
         h = Hashed(part)
         first, at = anchors(h, len(part))
         windows = np.diff(np.append(first, len(part) - WINDOW + 1))
+        step = len(part) - WINDOW + 1
+        if base + step < n:
+            step = int(first[-1])
+            first, at, windows = first[:-1], at[:-1], windows[:-1]
         out.append((h.of(at, at + GRAM), h.of(first, first + windows + WINDOW - 1), first + base, windows, at + base))
+        base += step
     return out
 
 
