@@ -77,6 +77,8 @@ def person(d: D) -> str:
     return "(SELECT c_custkey AS id, c_name AS name, c_mktsegment AS state, c_nationkey AS city FROM customer)"
 
 
+# of all events: a third has no key, a third has the key 7, the rest their user
+_NULL_KEYS = "(SELECT event_id, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 7 ELSE user_id END AS k FROM events)"
 _WIN = "ROW_NUMBER() OVER (PARTITION BY {} ORDER BY {})"
 
 SQL: dict[str, Callable[[D], str]] = {
@@ -137,6 +139,7 @@ SQL: dict[str, Callable[[D], str]] = {
     "join_on_distinct": lambda d: "SELECT c_custkey FROM customer JOIN (SELECT DISTINCT o_custkey FROM orders) x ON c_custkey = o_custkey",
     "join_on_values": lambda d: "SELECT n_nationkey, v FROM nation JOIN (VALUES (0, 'zero'), (1, 'one')) AS x(k, v) ON n_regionkey = k",
     "join_null_keys": lambda d: "SELECT a.event_id AS a, b.event_id AS b FROM (SELECT event_id, nullif(event_id % 50, 0) AS k FROM events WHERE event_id < 200) a JOIN (SELECT event_id, nullif(event_id % 50, 0) AS k FROM events WHERE event_id < 200) b ON a.k = b.k",
+    "join_null_keys_all": lambda d: f"SELECT a.event_id AS a, b.least AS b, b.n FROM {_NULL_KEYS} a JOIN (SELECT k, min(event_id) AS least, count(*) AS n FROM {_NULL_KEYS} x GROUP BY k) b ON a.k = b.k",
     # aggregates
     "agg_count_by_key": lambda d: "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey",
     "agg_hidden_key": lambda d: "SELECT count(*) AS n FROM orders GROUP BY o_custkey",
