@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,25 @@ def test_subscribe_copy_and_sinks(spark, tmp_path):
     assert [reconcile(5, 5), reconcile(5, 4, 1), reconcile(5, 4, 2), reconcile(5, 3, 1)] == ["ok", "pending", "bounded", "drift"]
 
 
+def test_a_keyed_table_keeps_its_rows_over_ticks_of_other_sources(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    e.run_program("CREATE TABLE t (id BIGINT PRIMARY KEY, note VARCHAR); CREATE SOURCE u (x BIGINT); CREATE MATERIALIZED VIEW v AS SELECT id, note FROM t")
+    put = lambda *r: e.apply({"t": spark.createDataFrame(list(r), "id long, note string")})
+    put((1, "a"), (2, "b"))
+    e.apply({"u": spark.createDataFrame([(1,)], "x long")})  # the view has no version 2
+    put((2, "c"), (3, "d"))
+    path, want = str(tmp_path / "table"), [(1, "a"), (2, "c"), (3, "d")]
+    assert deliver(e, "k", "v", to_table(path, "id")) == [1, 3]
+    assert rows(spark.read.parquet(f"{path}/version=3")) == want
+    to_table(path, "id")(e.subscribe("v", as_of=2), 3)  # without a cursor, and again
+    assert rows(spark.read.parquet(f"{path}/version=3")) == want
+    put((4, "e"))
+    shutil.rmtree(f"{path}/version=3")
+    with pytest.raises(FileNotFoundError):
+        deliver(e, "k", "v", to_table(path, "id"))
+    assert e.store.manifest["cursors"]["k"] == 3
+
+
 def test_views_on_views_and_late_definitions(spark, tmp_path):
     e = sums(spark, tmp_path / "s")
     e.apply({"bids": spark.createDataFrame([(1, 4), (2, 6), (1, 1)], "auction long, price long")})

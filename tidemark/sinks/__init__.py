@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.streaming.engine import Engine
@@ -45,12 +45,13 @@ def debezium(changes: DataFrame, table: str, key: str | None = None, tombstones:
     return out.select("version", "key", "value")
 
 
-def deliver(engine: Engine, sink: str, view: str, write: Callable[[DataFrame, int], None], most: int = 32) -> list[int]:
+def deliver(engine: Engine, sink: str, view: str, write: Callable[..., None], most: int = 32) -> list[int]:
     """Write the deltas after the sink's cursor, at most ``most`` versions; returns those delivered."""
     cursors = engine.store.manifest["cursors"]
     done = []
     for v in [v for v in engine.store.versions(f"view.{view}") if v > cursors.get(sink, 0)][:most]:
-        write(engine.subscribe(view, as_of=v - 1).where(F.col("version") == v), v)
+        last = {"last": cursors.get(sink, 0)} if getattr(write, "takes_last", False) else {}
+        write(engine.subscribe(view, as_of=v - 1).where(F.col("version") == v), v, **last)
         cursors[sink] = v
         engine.store.publish()
         done.append(v)
@@ -112,24 +113,41 @@ def upsert_statements(changes: DataFrame, table: str, key: str) -> DataFrame:
     return last.select("r.*").withColumn("deleted", F.col("diff") < 0).drop("diff")
 
 
-def to_table(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A keyed Parquet table, one folder for each version: the last image of each key, in the newest folder."""
+def to_table(path: str, key: str) -> Callable[..., None]:
+    """A keyed Parquet table, one folder for each version: the last image of each key, in the newest folder.
 
-    def write(changes: DataFrame, v: int) -> None:
+    The state before a version is the folder of the sink's cursor, which ``deliver`` gives (0: nothing yet);
+    without one, the newest folder of an earlier version.
+    """
+
+    def write(changes: DataFrame, v: int, last: int | None = None) -> None:
         spark = changes.sparkSession
         rows = upsert_statements(changes, path, key)
-        try:
-            old = spark.read.parquet(f"{path}/version={v - 1}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        if last is None:
+            last = max((x for x in _folders(spark, path) if x < v), default=0)
+        if last:
+            try:
+                old = spark.read.parquet(f"{path}/version={last}")
+            except Exception as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                raise FileNotFoundError(f"{path}/version={last}, the table before version {v}, is missing") from e
+        else:
             old = rows.drop("deleted").limit(0)
         kept = old.join(rows.select(F.col(key).alias("__key")), F.col(key).eqNullSafe(F.col("__key")), "left_anti")
         kept.unionByName(rows.where("NOT deleted").drop("deleted")).write.mode("overwrite").parquet(f"{path}/version={v}")
 
+    write.takes_last = True
     return write
 
 
+def _folders(spark: SparkSession, path: str) -> list[int]:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+
+
 def append_only(changes: DataFrame) -> DataFrame:
     """The rows to insert; a removal is an error."""
     return changes.where(F.when(F.col("diff") < 0, F.raise_error(F.lit("an append-only sink got a removal")).cast("boolean")).otherwise(F.lit(True)))
