@@ -14,7 +14,7 @@ from tidemark.plans.rewrite import to_spark
 from tidemark.plans.sqltext import clauses, statements
 from tidemark.sinks import changelog_json, debezium, deliver, reconcile, to_files, to_table
 from tidemark.sources import auctions, cdc, jsonl
-from tidemark.streaming import driver
+from tidemark.streaming import driver, state
 from tidemark.streaming.engine import Engine
 from tidemark.types import WEIGHT, Column, DefinitionError, SourceDef, sql_type
 
@@ -113,6 +113,32 @@ def test_a_keyed_table_keeps_its_rows_over_ticks_of_other_sources(spark, tmp_pat
     assert e.store.manifest["cursors"]["k"] == 3
 
 
+def test_compaction_keeps_what_sinks_wait_for(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "COMPACT", 2)
+    e = Engine(spark, str(tmp_path / "s"), retain=2)
+    e.run_program("CREATE SOURCE t (id BIGINT, note VARCHAR); CREATE MATERIALIZED VIEW v AS SELECT id, note FROM t; CREATE MATERIALIZED VIEW w AS SELECT id FROM t; CREATE SINK f FROM v WITH (connector = 'file', path = 'x') FORMAT PLAIN ENCODE JSON")
+    put = lambda i: e.apply({"t": spark.createDataFrame([(i, "n")], "id long, note string")})
+    for i in range(1, 7):
+        put(i)
+    ids = lambda p: sorted(json.loads(r.value)["id"] for r in spark.read.text(str(p)).collect())
+    assert e.store.oldest("view.v") == 0 and e.store.oldest("view.w") > 1
+    assert deliver(e, "f", "v", to_files(str(tmp_path / "f")), most=4) == [1, 2, 3, 4]
+    put(7)
+    assert e.store.oldest("view.v") == 4  # the cursor, though versions 6 and 7 are all that is retained
+    assert deliver(e, "f", "v", to_files(str(tmp_path / "f"))) == [5, 6, 7] and ids(tmp_path / "f") == [1, 2, 3, 4, 5, 6, 7]
+    old = e.store.oldest("view.w")
+    assert rows(e.view("w", old)) == [(i,) for i in range(1, old + 1)]
+    for gone in (lambda: e.view("w", old - 1), lambda: e.subscribe("w"), lambda: e.subscribe("w", as_of=old - 1), lambda: deliver(e, "late", "w", to_files(str(tmp_path / "g")))):
+        with pytest.raises(DefinitionError):
+            gone()
+    assert "late" not in e.store.manifest["sinks"]
+    assert rows(e.subscribe("w", as_of=7)) == []
+    assert deliver(e, "late", "w", to_files(str(tmp_path / "g")), snapshot=True) == list(range(old, 8)) and ids(tmp_path / "g") == [1, 2, 3, 4, 5, 6, 7]
+    e.drop_sink("f")
+    put(8)
+    assert e.store.oldest("view.v") == 7
+
+
 def test_views_on_views_and_late_definitions(spark, tmp_path):
     e = sums(spark, tmp_path / "s")
     e.apply({"bids": spark.createDataFrame([(1, 4), (2, 6), (1, 1)], "auction long, price long")})

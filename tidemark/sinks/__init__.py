@@ -45,13 +45,24 @@ def debezium(changes: DataFrame, table: str, key: str | None = None, tombstones:
     return out.select("version", "key", "value")
 
 
-def deliver(engine: Engine, sink: str, view: str, write: Callable[..., None], most: int = 32) -> list[int]:
-    """Write the deltas after the sink's cursor, at most ``most`` versions; returns those delivered."""
+def deliver(engine: Engine, sink: str, view: str, write: Callable[..., None], most: int = 32, snapshot: bool = False) -> list[int]:
+    """Write the deltas after the sink's cursor, at most ``most`` versions; returns those delivered.
+
+    Deltas after the cursor are kept once the sink is defined, by CREATE SINK or a first delivery. If some
+    are gone already, it is an error; ``snapshot`` lets a sink without a cursor begin with the view's rows
+    at the oldest version that is kept, as that version's changes.
+    """
     cursors = engine.store.manifest["cursors"]
+    table = f"view.{view}"
+    begin = snapshot and sink not in cursors and engine.store.oldest(table)
+    if not begin:
+        engine.store.check_kept(table, cursors.get(sink, 0))
+    engine.add_sink(sink, view)
     done = []
-    for v in [v for v in engine.store.versions(f"view.{view}") if v > cursors.get(sink, 0)][:most]:
+    for v in [*([begin] if begin else []), *[v for v in engine.store.versions(table) if v > cursors.get(sink, 0)]][:most]:
         last = {"last": cursors.get(sink, 0)} if getattr(write, "takes_last", False) else {}
-        write(engine.subscribe(view, as_of=v - 1).where(F.col("version") == v), v, **last)
+        changes = engine.subscribe(view, snapshot=v == begin, as_of=v if v == begin else v - 1)
+        write(changes.where(F.col("version") == v), v, **last)
         cursors[sink] = v
         engine.store.publish()
         done.append(v)

@@ -47,6 +47,7 @@ class Engine:
             if s.view not in self.views:
                 raise DefinitionError(f"no view {s.view}")
             self.sinks[s.name] = s
+            self.add_sink(s.name, s.view)
             return None
         if isinstance(s, ddl.Subscribe):
             if s.copy:
@@ -87,6 +88,20 @@ class Engine:
             self.store.write(f"view.{v.name}", zset.consolidate(zset.weighted(rows)), version)
             self._publish(version, None, None)
 
+    def add_sink(self, name: str, view: str) -> None:
+        """From now on the view's changes after the sink's cursor are kept."""
+        sinks = self.store.manifest.setdefault("sinks", {})
+        if sinks.get(name) != view:
+            sinks[name] = view
+            self.store.publish()
+
+    def drop_sink(self, name: str) -> None:
+        """Forget a sink and its cursor; changes are no longer kept for it."""
+        self.sinks.pop(name, None)
+        self.store.manifest.get("sinks", {}).pop(name, None)
+        self.store.manifest["cursors"].pop(name, None)
+        self.store.publish()
+
     def drop_view(self, name: str) -> None:
         for v, p in self.plans.items():
             if name in p.sources:
@@ -219,13 +234,17 @@ class Engine:
         return [(f.name, f.dataType.simpleString()) for f in self.store.schema(f"view.{name}").fields]
 
     def subscribe(self, name: str, snapshot: bool = False, as_of: int | None = None) -> DataFrame:
-        """version, diff, time and the view's columns: a snapshot if asked for, then each later delta."""
+        """version, diff, time and the view's columns: a snapshot if asked for, then each later delta.
+
+        Without a snapshot and ``as_of``, all deltas from the first; an error if some are no longer kept.
+        """
         table = f"view.{name}"
         if name not in self.views:
             raise DefinitionError(f"no view {name}")
         start = self.store.version if as_of is None and snapshot else as_of if as_of is not None else 0
         if start > self.store.version:
             raise DefinitionError(f"no version {start}")
+        self.store.check_kept(table, start)
         times = self.store.manifest["times"]
 
         def shaped(z: DataFrame, v: int) -> DataFrame:
@@ -234,7 +253,7 @@ class Engine:
 
         out = [shaped(self.store.snapshot(table, start), start)] if snapshot else []
         out += [shaped(self.store.delta(table, v), v) for v in self.store.versions(table) if v > start]
-        return zset.add(*out) if out else shaped(self.store.snapshot(table, 0).limit(0), start)
+        return zset.add(*out) if out else shaped(self.store.empty(table), start)
 
     def copy_out(self, name: str, snapshot: bool = False, as_of: int | None = None) -> Iterator[str]:
         """The changelog as lines of COPY text: tabs, ``\\N`` for null, escapes."""

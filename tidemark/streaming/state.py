@@ -2,8 +2,8 @@
 
 A table is a list of layers, each a directory of weighted rows written at one version. Its snapshot
 at a version is the consolidated sum of the layers up to it. Every ``COMPACT`` layers the sum is
-written as one new base layer. What no retained version needs is deleted. Files go through Hadoop's
-file system, so any store that Spark can write will do.
+written as one new base layer. What no retained version and no sink needs is deleted; what came before
+a base can't be read any more. Files go through Hadoop's file system, so any store that Spark can write will do.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tidemark.operators import zset
-from tidemark.types import WEIGHT
+from tidemark.types import WEIGHT, DefinitionError
 
 COMPACT = 16
 
@@ -75,12 +75,24 @@ class Store:
         """The consolidated Z-set at a version (the latest by default)."""
         layers = self.manifest["tables"][name]["layers"]
         if version is not None:
+            self.check_kept(name, version)
             layers = [x for x in layers if x["version"] <= version]
         bases = [i for i, x in enumerate(layers) if x["base"]]
         layers = layers[bases[-1] :] if bases else layers
         z = self._load(name, [x["path"] for x in layers])
         return z if len(layers) == 1 else zset.consolidate(z)
 
+    def empty(self, name: str) -> DataFrame:
+        return self._load(name, [])
+
+    def oldest(self, name: str) -> int:
+        """The oldest version that can be read, and after which all deltas are still there."""
+        return max([0, *(x["version"] for x in self.manifest["tables"][name]["layers"] if x["base"])])
+
+    def check_kept(self, name: str, version: int) -> None:
+        if version < self.oldest(name):
+            raise DefinitionError(f"version {version} of {name} is not kept, the oldest is {self.oldest(name)}")
+
     def delta(self, name: str, version: int) -> DataFrame:
         return self._load(name, [x["path"] for x in self.manifest["tables"][name]["layers"] if x["version"] == version and not x["base"]])
 
@@ -99,14 +111,15 @@ class Store:
         return written
 
     def compact(self) -> None:
-        """One base layer for tables with many; drop what lies before the oldest retained version."""
-        oldest = self.version - self.retain + 1
+        """One base layer for tables with many; drop what lies before the oldest retained version and all cursors of the table's sinks."""
         for name, t in self.manifest["tables"].items():
+            waiting = [self.manifest["cursors"].get(s, 0) for s, of in self.manifest.get("sinks", {}).items() if f"view.{of}" == name]
+            oldest = min([self.version - self.retain + 1, *waiting])
             since = len(t["layers"]) - max([i for i, x in enumerate(t["layers"]) if x["base"]], default=0)
-            if since > COMPACT:
+            before = [x for x in t["layers"] if x["version"] <= oldest]
+            if since > COMPACT and any(not x["base"] for x in before):
                 path = f"{name}/base-{oldest}-{uuid.uuid4().hex[:8]}"
                 self.snapshot(name, oldest).write.parquet(f"{self.root}/{path}")
-                before = [x for x in t["layers"] if x["version"] <= oldest]
                 t["layers"] = [{"version": oldest, "path": path, "base": True}, *[x for x in t["layers"] if x["version"] > oldest]]
                 self.publish()
                 for x in before:
