@@ -15,6 +15,8 @@ _FUNCTIONS = [
     ("split_index", "s STRING, delim STRING, i INT", "STRING", "CASE WHEN i < 0 OR length(delim) = 0 THEN NULL ELSE get(split(s, concat('\\\\Q', replace(delim, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E')), i) END"),
     ("count_char", "s STRING, token STRING", "BIGINT", "CASE WHEN length(token) = 0 AND s IS NOT NULL THEN 0 ELSE CAST((length(s) - length(replace(s, token, ''))) DIV length(token) AS BIGINT) END"),
     ("regexp_extract_or_null", "s STRING, pattern STRING, idx INT", "STRING", "CASE WHEN idx < 0 OR NOT s RLIKE pattern THEN NULL ELSE regexp_extract(s, pattern, idx) END"),
+    ("hop_start", "ts TIMESTAMP_NTZ, slide BIGINT, size BIGINT", "TIMESTAMP_NTZ", "CASE WHEN slide > 0 AND size > 0 THEN tumble(ts, slide) END"),
+    ("hop_end", "ts TIMESTAMP_NTZ, slide BIGINT, size BIGINT", "TIMESTAMP_NTZ", "hop_start(ts, slide, size) + make_dt_interval(0, 0, 0, CAST(size AS DECIMAL(24, 6)) / 1000)"),
 ]
 
 

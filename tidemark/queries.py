@@ -138,8 +138,7 @@ SQL: dict[str, Callable[[D], str]] = {
     "join_on_aggregate": lambda d: "SELECT c_custkey, n FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) x ON c_custkey = o_custkey",
     "join_on_distinct": lambda d: "SELECT c_custkey FROM customer JOIN (SELECT DISTINCT o_custkey FROM orders) x ON c_custkey = o_custkey",
     "join_on_values": lambda d: "SELECT n_nationkey, v FROM nation JOIN (VALUES (0, 'zero'), (1, 'one')) AS x(k, v) ON n_regionkey = k",
-    "join_null_keys": lambda d: "SELECT a.event_id AS a, b.event_id AS b FROM (SELECT event_id, nullif(event_id % 50, 0) AS k FROM events WHERE event_id < 200) a JOIN (SELECT event_id, nullif(event_id % 50, 0) AS k FROM events WHERE event_id < 200) b ON a.k = b.k",
-    "join_null_keys_all": lambda d: f"SELECT a.event_id AS a, b.least AS b, b.n FROM {_NULL_KEYS} a JOIN (SELECT k, min(event_id) AS least, count(*) AS n FROM {_NULL_KEYS} x GROUP BY k) b ON a.k = b.k",
+    "join_null_keys": lambda d: f"SELECT a.event_id AS a, b.least AS b, b.n FROM {_NULL_KEYS} a JOIN (SELECT k, min(event_id) AS least, count(*) AS n FROM {_NULL_KEYS} x GROUP BY k) b ON a.k = b.k",
     # aggregates
     "agg_count_by_key": lambda d: "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey",
     "agg_hidden_key": lambda d: "SELECT count(*) AS n FROM orders GROUP BY o_custkey",
@@ -281,20 +280,27 @@ def zset_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 # views kept up to date over three batches, the last with removals; the result is the view's rows
 
 _VIEWS: dict[str, tuple[str, str]] = {
-    # name: (mode that is expected, the view)
+    # name: (the modes of its steps that are expected, the view)
     "view_stateless": ("stateless", "SELECT k, ck * 2 AS ck2, st FROM o WHERE st <> 'P'"),
     "view_union_all": ("stateless", "SELECT k AS x, st FROM o WHERE st = 'F' UNION ALL SELECT ck, pr FROM o WHERE st = 'P'"),
     "view_join": ("join", "SELECT o.k, c.seg, o.st FROM o JOIN c ON o.ck = c.id WHERE c.seg <> 'BUILDING'"),
-    "view_count_by_key": ("keyed", "SELECT ck, count(*) AS n FROM o GROUP BY ck"),
-    "view_distinct": ("keyed", "SELECT DISTINCT st, pr FROM o"),
+    "view_count_by_key": ("sums > stateless", "SELECT ck, count(*) AS n FROM o GROUP BY ck"),
+    "view_distinct": ("sums > stateless", "SELECT DISTINCT st, pr FROM o"),
+    "view_sums": ("sums > stateless", "SELECT st, CAST(sum(ck) AS BIGINT) AS s, count(nullif(ck % 3, 0)) AS c, avg(k) AS a, count(*) FILTER (WHERE ck % 2 = 0) AS f FROM o GROUP BY st HAVING count(*) > 1"),
     "view_stats": ("keyed", "SELECT st, count(*) AS n, count(DISTINCT ck) AS d, CAST(sum(ck) AS BIGINT) AS s, min(k) AS lo, max(k) AS hi, count(*) FILTER (WHERE ck % 2 = 0) AS f FROM o GROUP BY st"),
     "view_having": ("keyed", "SELECT ck, max(k) AS m FROM o GROUP BY ck HAVING count(*) > 10"),
     "view_topn": ("keyed", "SELECT ck, k, rn FROM (SELECT ck, k, ROW_NUMBER() OVER (PARTITION BY ck ORDER BY cents DESC, k) AS rn FROM o) q WHERE rn <= 2"),
-    "view_global_topn": ("recompute", "SELECT k, cents FROM o ORDER BY cents DESC, k LIMIT 10 OFFSET 2"),
+    "view_global_topn": ("top > recompute", "SELECT k, cents FROM o ORDER BY cents DESC, k LIMIT 10 OFFSET 2"),
+    "view_topn_over_aggregate": ("sums > stateless > top > recompute", "SELECT ck, count(*) AS n FROM o GROUP BY ck ORDER BY n DESC, ck LIMIT 10"),
     "view_left_join": ("recompute", "SELECT c.id, o.k FROM c LEFT JOIN o ON c.id = o.ck AND o.st = 'P'"),
-    "view_agg_over_join": ("recompute", "SELECT c.seg, count(*) AS n, max(o.k) AS m FROM o JOIN c ON o.ck = c.id GROUP BY c.seg"),
-    "view_union_distinct": ("recompute", "SELECT ck AS x FROM o UNION SELECT id FROM c WHERE seg = 'BUILDING'"),
-    "view_except": ("recompute", "SELECT id AS x FROM c EXCEPT SELECT ck FROM o"),
+    "view_agg_over_join": ("join > keyed", "SELECT c.seg, count(*) AS n, max(o.k) AS m FROM o JOIN c ON o.ck = c.id GROUP BY c.seg"),
+    "view_agg_over_aggregate": ("sums > stateless > sums > stateless", "SELECT n, count(*) AS customers FROM (SELECT ck, count(*) AS n FROM o GROUP BY ck) x GROUP BY n"),
+    "view_agg_over_union": ("stateless > sums > stateless", "SELECT x, count(*) AS n FROM (SELECT ck AS x FROM o UNION ALL SELECT id FROM c) u GROUP BY x"),
+    "view_agg_over_topn": ("top > recompute > recompute", "SELECT CAST(sum(cents) AS BIGINT) AS s FROM (SELECT cents FROM o ORDER BY cents DESC, k LIMIT 10) x"),
+    "view_join_on_aggregate": ("sums > stateless > join", "SELECT c.id, x.n FROM c JOIN (SELECT ck, count(*) AS n FROM o GROUP BY ck) x ON c.id = x.ck"),
+    "view_union_distinct": ("stateless > sums > stateless", "SELECT ck AS x FROM o UNION SELECT id FROM c WHERE seg = 'BUILDING'"),
+    "view_except": ("stateless > stateless > stateless > sums > stateless", "SELECT id AS x FROM c EXCEPT SELECT ck FROM o"),
+    "view_intersect": ("stateless > stateless > stateless > sums > stateless", "SELECT id AS x FROM c INTERSECT SELECT ck FROM o WHERE st = 'F'"),
 }
 
 _O = SourceDef("o", [Column("k", T.LongType()), Column("ck", T.LongType()), Column("st", T.StringType()), Column("pr", T.StringType()), Column("cents", T.LongType())])
@@ -304,7 +310,11 @@ _C = SourceDef("c", [Column("id", T.LongType()), Column("seg", T.StringType())])
 def _root(spark: SparkSession) -> str:
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/views-{uuid.uuid4().hex}"
 
 
@@ -319,8 +329,8 @@ def incremental(name: str) -> Callable[[SparkSession, str], DataFrame]:
         e.add_source(_O)
         e.add_source(_C)
         e.execute(f"CREATE MATERIALIZED VIEW v AS {sql}")
-        if e.plans["v"].mode != mode:
-            raise AssertionError(f"{name} is kept by {e.plans['v'].mode}")
+        if e.mode("v") != mode:
+            raise AssertionError(f"{name} is kept by {e.mode('v')}")
         e.apply({"o": o.where("k % 3 = 0"), "c": c.where("id % 2 = 0")})
         e.apply({"o": o.where("k % 3 = 1"), "c": c.where("id % 2 = 1")})
         away = zset.add(zset.weighted(o.where("k % 3 = 2")), zset.weighted(o.where("k % 12 = 0"), -1))
@@ -330,6 +340,56 @@ def incremental(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+# the auction queries as views of the dialect, over bids, auctions and persons that come in three batches, the last with removals
+
+_BID = SourceDef("bid", [Column("auction", T.LongType()), Column("bidder", T.LongType()), Column("price", T.LongType()), Column("channel", T.StringType()), Column("date_time", T.TimestampNTZType()), Column("ln", T.LongType())])
+_AUCTION = SourceDef("auction", [Column("id", T.LongType()), Column("seller", T.LongType()), Column("category", T.StringType()), Column("date_time", T.TimestampNTZType()), Column("reserve", T.LongType()), Column("status", T.StringType())])
+_PERSON = SourceDef("person", [Column("id", T.LongType()), Column("name", T.StringType()), Column("state", T.StringType()), Column("city", T.LongType())])
+_DAY = 86_400_000
+_HOP = D(False).hop(bid(D(False)) + " b", "date_time", 10 * _DAY, 50 * _DAY)
+
+#: name: (modes, the view; its SQL is that of the batch query of the same number unless it is given)
+_AUCTION_VIEWS: dict[str, tuple[str, str, str | None]] = {
+    **{f"view_q{n}": (mode, SQL[f"auction_q{n}"](D(True)).replace(bid(D(True)), "bid").replace(auction(D(True)), "auction").replace(person(D(True)), "person"), None) for n, mode in {0: "stateless", 1: "stateless", 2: "stateless", 3: "join", 4: "join > keyed > sums > stateless", 6: "join > keyed > sums > stateless", 7: "keyed", 8: "join > sums > stateless", 9: "join > keyed", 12: "sums > stateless", 13: "join", 14: "stateless", 15: "keyed", 16: "keyed", 17: "keyed", 18: "keyed", 19: "keyed", 20: "join"}.items()},
+    "view_q5": ("stateless > sums > stateless", f"SELECT auction, count(*) AS num, HOP(date_time, {10 * _DAY}, {50 * _DAY}) AS start FROM bid GROUP BY auction, HOP(date_time, {10 * _DAY}, {50 * _DAY})", f"SELECT auction, count(*) AS num, hop AS start FROM {_HOP} h GROUP BY auction, hop"),
+    "view_tumble_offset": ("stateless > keyed", f"SELECT TUMBLE(date_time, {10 * _DAY}, {3 * _DAY}) AS start, max(price) AS most FROM bid GROUP BY TUMBLE(date_time, {10 * _DAY}, {3 * _DAY})", f"SELECT make_timestamp(((epoch_us(date_time) - {3 * _DAY}000) // {10 * _DAY}000) * {10 * _DAY}000 + {3 * _DAY}000) AS start, max(price) AS most FROM {bid(D(False))} b GROUP BY ALL"),
+    "view_session": ("recompute", f"SELECT seller, SESSION(date_time, {30 * _DAY}) AS start, count(*) AS n FROM auction GROUP BY seller, SESSION(date_time, {30 * _DAY})", f"SELECT seller, min(date_time) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY seller ORDER BY date_time, id) AS s FROM (SELECT *, CASE WHEN date_time > lag(date_time) OVER (PARTITION BY seller ORDER BY date_time, id) + INTERVAL 30 DAY OR lag(date_time) OVER (PARTITION BY seller ORDER BY date_time, id) IS NULL THEN 1 ELSE 0 END AS new FROM {auction(D(False))} a) a) b GROUP BY seller, s"),
+}
+
+
+def auction_view(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    mode, sql, _ = _AUCTION_VIEWS[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = load(spark, sf_dir, ("orders", "customer", "lineitem"))
+        for n, df in t.items():
+            df.createOrReplaceTempView(n)
+        d = D(True)
+        b, a, p = (spark.sql(f"SELECT * FROM {x(d)} x") for x in (bid, auction, person))
+        e = Engine(spark, _root(spark))
+        used = {}
+        for source, rows, key in ((_BID, b, "auction"), (_AUCTION, a, "id"), (_PERSON, p, "id")):
+            if source.name in sql:
+                e.add_source(source)
+                used[source.name] = (rows, key)
+        e.execute(f"CREATE MATERIALIZED VIEW v AS {sql}")
+        if e.mode("v") != mode:
+            raise AssertionError(f"{name} is kept by {e.mode('v')}")
+        e.apply({n: rows.where(f"{k} % 3 = 0") for n, (rows, k) in used.items()})
+        e.apply({n: rows.where(f"{k} % 3 = 1") for n, (rows, k) in used.items()})
+        e.apply({n: zset.add(zset.weighted(rows.where(f"{k} % 3 = 2")), zset.weighted(rows.where(f"{k} % 12 = 0"), -1)) for n, (rows, k) in used.items()})
+        return e.view("v")
+
+    return run
+
+
+def _kept(sql: str) -> str:
+    """The SQL over what the three batches leave of the tables."""
+    for table, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey"), ("customer", "c_custkey")):
+        sql = sql.replace(f"FROM {table})", f"FROM {table} WHERE {key} % 12 <> 0)")
+    return sql
+
+
 def _final(sql: str) -> str:
     return f"WITH o AS (SELECT o_orderkey AS k, o_custkey AS ck, o_orderstatus AS st, o_orderpriority AS pr, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders WHERE o_orderkey % 12 <> 0), c AS (SELECT c_custkey AS id, c_mktsegment AS seg FROM customer WHERE c_custkey % 10 <> 0) {sql}"
 
@@ -347,6 +407,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{n: sql_query(make) for n, make in SQL.items()},
     **{f.__name__: f for f in (asof_latest, asof_next, zset_consolidate, zset_diff, zset_join, zset_group)},
     **{n: incremental(n) for n in _VIEWS},
+    **{n: auction_view(n) for n in _AUCTION_VIEWS},
     "flagship": flagship,
 }
 
@@ -359,5 +420,6 @@ ORACLE_SQL: dict[str, str] = {
     "zset_join": "SELECT c_custkey AS k, o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 <> 0 AND c_custkey % 10 <> 0",
     "zset_group": "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS s FROM orders WHERE o_orderkey % 10 <> 0 GROUP BY o_orderstatus",
     **{n: _final(sql) for n, (_, sql) in _VIEWS.items()},
+    **{n: _kept(sql or SQL[n.replace("view_", "auction_")](D(False))) for n, (_, _, sql) in _AUCTION_VIEWS.items()},
     "flagship": "SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY l_returnflag, l_linestatus",
 }

@@ -79,34 +79,46 @@ def to_kafka(servers: str, topic: str, table: str, key: str | None = None) -> Ca
     return lambda changes, v: debezium(changes, table, key).select("key", "value").write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
 
 
-def to_http(url: str, batch_rows: int = 500, post: Callable[[str, bytes, dict], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """JSON arrays by POST from the tasks; ``Idempotency-Key`` is version:first..last, in a stable order of rows."""
+def to_http(url: str, batch_rows: int = 500, post: Callable[[str, bytes, dict], None] | None = None, requests: int | None = None) -> Callable[[DataFrame, int], None]:
+    """JSON arrays by POST from the tasks, about ``batch_rows`` rows each.
+
+    Rows go to requests by a hash of their content, and a request's rows are sorted: however a retry is
+    partitioned, request i of a version holds the same rows. ``Idempotency-Key`` is version:i:digest of
+    the body, so a receiver can drop what it has had. ``requests`` fixes their number for each version.
+    """
 
     def write(changes: DataFrame, v: int) -> None:
-        lines = changelog_json(changes).orderBy("value")
+        lines = changelog_json(changes)
+        n = requests or max(1, -(-lines.count() // batch_rows))
+
+        def send(batches: Iterator) -> Iterator:
+            import hashlib
 
-        def send(rows: Iterator) -> None:
-            from pyspark import TaskContext
+            import pyarrow as pa
 
-            part = TaskContext.get().partitionId()
             held: list[str] = []
-            first = 0
+            at = None
 
             def flush() -> None:
-                nonlocal first
                 if held:
-                    headers = {"Content-Type": "application/json", "Idempotency-Key": f"{v}:{part}:{first}..{first + len(held) - 1}"}
-                    (post or _post)(url, ("[" + ",".join(held) + "]").encode(), headers)
-                    first += len(held)
+                    body = ("[" + ",".join(sorted(held)) + "]").encode()
+                    headers = {"Content-Type": "application/json", "Idempotency-Key": f"{v}:{at}:{hashlib.sha256(body).hexdigest()}"}
+                    (post or _post)(url, body, headers)
                     held.clear()
 
-            for r in rows:
-                held.append(r["value"])
-                if len(held) == batch_rows:
-                    flush()
+            sent = 0
+            for b in batches:
+                for i, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if i != at:
+                        flush()
+                        at = i
+                    held.append(value)
+                    sent += 1
             flush()
+            yield pa.RecordBatch.from_arrays([pa.array([sent], pa.int64())], names=["sent"])
 
-        lines.foreachPartition(send)
+        numbered = lines.select(F.pmod(F.xxhash64("value"), F.lit(n)).alias("request"), "value")
+        numbered.repartition("request").sortWithinPartitions("request").mapInArrow(send, "sent long").agg(F.sum("sent")).collect()
 
     return write
 

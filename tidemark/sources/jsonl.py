@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.types import SourceDef
 
 
-def events(lines: DataFrame, column: str, default_source: str) -> DataFrame:
+def events(lines: DataFrame, column: str, default_source: str | Column) -> DataFrame:
     """(source, payload) of JSON lines: blank lines are skipped, arrays opened, wrappers taken off."""
+    default = F.lit(default_source) if isinstance(default_source, str) else default_source
     line = F.trim(F.col(column))
     one = F.when(line.startswith("["), F.from_json(line, "array<string>", {"mode": "FAILFAST"})).otherwise(F.array(line))
-    rows = lines.where(F.length(line) > 0).select(F.explode(one).alias("e"))
+    rows = lines.where(F.length(line) > 0).select(F.explode(one).alias("e"), default.alias("default"))
     source, data = F.get_json_object("e", "$.source"), F.get_json_object("e", "$.data")
     wrapped = source.isNotNull() & data.isNotNull() & data.startswith("{")
-    return rows.select(F.when(wrapped, source).otherwise(F.lit(default_source)).alias("source"), F.when(wrapped, data).otherwise(F.col("e")).alias("payload"))
+    return rows.select(F.when(wrapped, source).otherwise(F.col("default")).alias("source"), F.when(wrapped, data).otherwise(F.col("e")).alias("payload"))
 
 
 def decode(rows: DataFrame, payload: str, source: SourceDef) -> DataFrame:
@@ -64,6 +65,4 @@ def kafka(spark: SparkSession, servers: str, topics: str, **options) -> DataFram
         if "kafka" in str(e).lower():
             raise RuntimeError("Spark's Kafka package is not on the class path") from e
         raise
-    lines = raw.select(F.col("topic"), F.col("value").cast("string").alias("line")).where("line is not null")
-    wrapped = F.get_json_object("line", "$.source").isNotNull() & F.get_json_object("line", "$.data").isNotNull()
-    return lines.select(F.when(wrapped, F.get_json_object("line", "$.source")).otherwise(F.col("topic")).alias("source"), F.when(wrapped, F.get_json_object("line", "$.data")).otherwise(F.col("line")).alias("payload"))
+    return events(raw.select(F.col("topic"), F.col("value").cast("string").alias("line")).where("line is not null"), "line", F.col("topic"))

@@ -19,7 +19,10 @@ from tidemark.streaming.engine import Engine
 
 @dataclass
 class Watermarks:
-    """Milliseconds; ``idle_after`` seconds without rows a source no longer holds the others back."""
+    """Milliseconds; ``idle_after`` seconds without rows a source no longer holds the others back.
+
+    ``Ticker`` keeps them in the engine's manifest, so that a restart doesn't let late rows in again.
+    """
 
     idle_after: float | None = None
     seen: dict[str, int] = field(default_factory=dict)
@@ -45,9 +48,13 @@ class Ticker:
 
     def __init__(self, engine: Engine, name: str, watermarks: Watermarks | None = None, allowed_lateness_ms: int | None = None):
         self.engine, self.name, self.marks, self.lateness = engine, name, watermarks or Watermarks(), allowed_lateness_ms
+        kept = engine.store.manifest.get("watermarks", {}).get(name)
+        if kept and not self.marks.seen:
+            self.marks.seen, self.marks.value = dict(kept["seen"]), kept["value"]
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
+        before = dict(self.marks.seen), dict(self.marks.last), self.marks.value
         try:
             present = {r["source"] for r in batch.select("source").distinct().limit(len(self.engine.sources) + 1).collect()}
             tables = {}
@@ -61,7 +68,12 @@ class Ticker:
                         rows = rows.where(ms >= self.marks.value - self.lateness)
                     self.marks.update(s, rows.agg(F.max(ms).alias("m")).first()["m"])
                 tables[s] = rows
-            self.engine.apply(tables, batch_id=f"{self.name}:{batch_id}", watermark=self.marks.current(sorted(self.engine.sources)))
+            now = self.marks.current(sorted(self.engine.sources))
+            self.engine.store.manifest.setdefault("watermarks", {})[self.name] = {"seen": dict(self.marks.seen), "value": self.marks.value}
+            self.engine.apply(tables, batch_id=f"{self.name}:{batch_id}", watermark=now)
+        except BaseException:  # the batch comes again: its rows mustn't be late then
+            self.marks.seen, self.marks.last, self.marks.value = before
+            raise
         finally:
             batch.unpersist()
 

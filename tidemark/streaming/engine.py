@@ -2,14 +2,19 @@
 
 ``apply`` takes one batch of weighted rows for any number of sources and moves all views to the next
 version together: deltas are written first, then the manifest is published, so a crash in between
-leaves the old version. The same batch id is applied once.
+leaves the old version, and a batch that is rejected leaves nothing. The same batch id is applied once.
+
+A view over a join, a subquery, windows of time or a global top-N is kept in steps: hidden views hold
+what lies inside it (``plans.steps``), each kept in its own way, and the view itself reads those.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,12 +22,24 @@ from pyspark.sql import types as T
 from tidemark import functions
 from tidemark.operators import zset
 from tidemark.plans import ddl
-from tidemark.plans.classify import Plan, classify
+from tidemark.plans.classify import Plan, classify, relations
 from tidemark.plans.rewrite import to_spark
+from tidemark.plans.steps import Step, steps
 from tidemark.streaming.state import Store
 from tidemark.types import WEIGHT, DefinitionError, SinkDef, SourceDef, ViewDef
 
 
+MOST_IDS = 1_024
+
+
+def _types(schema: T.StructType) -> list[tuple[str, str]]:
+    return [(f.name.lower(), f.dataType.simpleString()) for f in schema.fields]
+
+
+def _nullable(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, retain: int = 64, integer_division: bool = False):
         self.spark, self.store, self.integer_division = spark, Store(spark, root, retain), integer_division
@@ -33,11 +50,11 @@ class Engine:
         functions.register(spark)
 
     # definitions
-    def run_program(self, program: str) -> list[DataFrame | list | None]:
+    def run_program(self, program: str) -> list[DataFrame | list | Iterator[str] | None]:
         """All statements of a program in order; queries and SUBSCRIBE give their result."""
         return [self.execute(s) for s in ddl.statements(program)]
 
-    def execute(self, statement: str) -> DataFrame | list | None:
+    def execute(self, statement: str) -> DataFrame | list | Iterator[str] | None:
         s, soft = ddl.parse(statement)
         if isinstance(s, SourceDef):
             return self.add_source(s, soft)
@@ -51,7 +68,7 @@ class Engine:
             return None
         if isinstance(s, ddl.Subscribe):
             if s.copy:
-                return list(self.copy_out(s.view, s.snapshot, s.as_of))
+                return self.copy_out(s.view, s.snapshot, s.as_of)
             return self.subscribe(s.view, s.snapshot, s.as_of)
         if isinstance(s, ddl.Show):
             return self.describe(s.view)
@@ -71,19 +88,46 @@ class Engine:
                 return
             raise DefinitionError(f"{v.name} exists")
         sql = to_spark(v.sql, self.integer_division)
-        empty = {n: self.spark.createDataFrame([], s.schema) for n, s in self.sources.items()} | {n: self.spark.createDataFrame([], self.store.schema(f"view.{n}")) for n in self.views}
-        shape = self._eval(sql, empty)
+        shape = self._shape(sql)
         if len(set(shape.columns)) < len(shape.columns):
             raise DefinitionError("a view's columns need distinct names")
         if WEIGHT in shape.columns:
             raise DefinitionError(f"{WEIGHT} is reserved")
-        used = [n for n in empty if re.search(rf"\b{re.escape(n)}\b", sql, re.IGNORECASE)]
-        self.plans[v.name] = classify(shape, sql, used)
-        self.views[v.name] = ViewDef(v.name, sql, v.properties)
+        known = dict(self.views), dict(self.plans), json.dumps(self.store.manifest["tables"])
+        try:
+            for step in steps(sql, v.name, self._shape, self._held):
+                if step.name == v.name:
+                    self._keep(ViewDef(v.name, step.sql, v.properties), step.plan)
+            if _types(self.store.schema(f"view.{v.name}")) != _types(shape.schema):
+                raise DefinitionError("the steps give other columns")
+        except (AnalysisException, ParseException, DefinitionError):  # a query that can't be taken apart is kept as it stands
+            self.views, self.plans, self.store.manifest["tables"] = known[0], known[1], json.loads(known[2])
+            self.store.rollback()
+            self._keep(ViewDef(v.name, sql, v.properties))
+
+    def _held(self, step: Step) -> None:
+        """A hidden view."""
+        self._keep(ViewDef(step.name, step.sql), step.plan)
+
+    def _shape(self, sql: str) -> DataFrame:
+        """A query over empty sources and views."""
+        empty = {n: self.spark.createDataFrame([], s.schema) for n, s in self.sources.items()} | {n: self.spark.createDataFrame([], self.store.schema(f"view.{n}")) for n in self.views}
+        return self._eval(sql, empty)
+
+    def _keep(self, v: ViewDef, plan: Plan | None = None) -> None:
+        """Choose how one step is kept, and fill it with what is there already."""
+        shape = self._shape(v.sql)
+        read = relations(shape)
+        used = [n for n in [*self.sources, *self.views] if n.lower() in read]
+        columns = {c.lower() for n in used for c in self.store.schema(self._table(n)).fieldNames()}
+        if plan is not None:
+            plan.sources = used
+        self.plans[v.name] = plan or classify(shape, v.sql, used, columns)
+        self.views[v.name] = v
         known = f"view.{v.name}" in self.store.manifest["tables"]
-        self.store.create(f"view.{v.name}", T.StructType([T.StructField(f.name, f.dataType) for f in shape.schema.fields]))
+        self.store.create(f"view.{v.name}", _nullable(shape.schema))
         if not known and (not used or self.store.version):  # constants, and views over what is there already
-            rows = self._eval(sql, {n: zset.expand(self._state(n)) for n in used})
+            rows = self._eval(v.sql, {n: zset.expand(self._state(n)) for n in used})
             version = self.store.version + 1
             self.store.write(f"view.{v.name}", zset.consolidate(zset.weighted(rows)), version)
             self._publish(version, None, None)
@@ -103,11 +147,13 @@ class Engine:
         self.store.publish()
 
     def drop_view(self, name: str) -> None:
+        own = [n for n in self.views if n == name or n.startswith(f"{name}__step")]
         for v, p in self.plans.items():
             if name in p.sources:
                 raise DefinitionError(f"{v} reads {name}")
-        del self.views[name], self.plans[name]
-        self.store.manifest["tables"].pop(f"view.{name}")
+        for n in own:
+            del self.views[n], self.plans[n]
+            self.store.manifest["tables"].pop(f"view.{n}")
         self.store.publish()
 
     # evaluation
@@ -116,89 +162,142 @@ class Engine:
             df.createOrReplaceTempView(n)
         return self.spark.sql(sql)
 
+    def _table(self, name: str) -> str:
+        return f"source.{name}" if name in self.sources else f"view.{name}"
+
     def _state(self, name: str, version: int | None = None) -> DataFrame:
-        return self.store.snapshot(f"source.{name}" if name in self.sources else f"view.{name}", version)
+        return self.store.snapshot(self._table(name), version)
 
-    def _delta(self, view: str, deltas: dict[str, DataFrame], before: dict[str, DataFrame]) -> DataFrame:
+    def _delta(self, view: str, deltas: dict[str, DataFrame], version: int) -> DataFrame:
+        """The view's delta at a version, from those of what it reads."""
         plan, sql = self.plans[view], self.views[view].sql
-        empty = {n: before[n].drop(WEIGHT).limit(0) for n in plan.sources}
         changed = [n for n in plan.sources if n in deltas]
+        raw = lambda n: self.store.snapshot(self._table(n), version - 1, raw=True)
+        none = {n: self.store.empty(self._table(n)) for n in plan.sources}
+        plain = {n: z.drop(WEIGHT) for n, z in none.items()}
 
         def signed(tables: dict[str, DataFrame], w: int) -> DataFrame:
-            return zset.weighted(self._eval(sql, empty | tables), w)
+            return zset.weighted(self._eval(sql, plain | tables), w)
 
+        if plan.mode in ("stateless", "join") and plan.weighted:  # the query with its rows' weights, and no row written out
+            if plan.mode == "stateless":
+                terms = [self._eval(plan.weighted, deltas)]
+            else:
+                a, b = plan.sources
+                pairs = [(x, y) for x, y, there in ((deltas.get(a), raw(b), a in deltas), (raw(a), deltas.get(b), b in deltas), (deltas.get(a), deltas.get(b), len(changed) == 2)) if there]
+                terms = [self._eval(plan.weighted, {a: x, b: y}) for x, y in pairs]
+            return zset.consolidate(zset.add(*terms))
         if plan.mode == "stateless":
-            out = []
             plus, minus = ({n: zset.parts(deltas[n])[i] for n in changed} for i in (0, 1))
-            out = [signed(plus, 1), signed(minus, -1)]
-            return zset.consolidate(zset.add(*out))
+            return zset.consolidate(zset.add(signed(plus, 1), signed(minus, -1)))
         if plan.mode == "join":
-            a, b = plan.sources
             terms = []
-            whole = {n: zset.expand(before[n]) for n in plan.sources}
+            whole = {n: zset.expand(self._state(n, version - 1)) for n in plan.sources}
+            a, b = plan.sources
             for x, y in ((a, b), (b, a)):
                 if x in deltas:
                     for i, w in ((0, 1), (1, -1)):
                         terms.append(signed({x: zset.parts(deltas[x])[i], y: whole[y]}, w))
-            if a in deltas and b in deltas:
+            if len(changed) == 2:
                 for i, w in ((0, 1), (1, -1)):
                     for j, u in ((0, 1), (1, -1)):
                         terms.append(signed({a: zset.parts(deltas[a])[i], b: zset.parts(deltas[b])[j]}, w * u))
             return zset.consolidate(zset.add(*terms))
-        after = {n: zset.consolidate(zset.add(before[n], deltas[n])) if n in deltas else before[n] for n in plan.sources}
+        if plan.mode == "sums":
+            return self._sums_delta(view, deltas[plan.sources[0]], version)
+        if plan.mode == "top":
+            n = plan.sources[0]
+            plus, minus = zset.parts(deltas[n])
+            old = zset.expand(self._state(view, version - 1))
+            if zset.semi(minus, old.distinct()).isEmpty():
+                return zset.diff_rows(self._eval(sql, {n: old.unionByName(plus)}), old)
         if plan.mode == "keyed":
             n = plan.sources[0]
             names = [f"__k{i}" for i in range(len(plan.keys))]
             keyed = lambda z: z.selectExpr("*", *[f"({k}) AS {x}" for k, x in zip(plan.keys, names, strict=True)])
             touched = keyed(deltas[n]).select(*names).distinct()
-            before, after = ({n: zset.semi(keyed(z[n]), touched).drop(*names)} for z in (before, after))
+            was = zset.semi(keyed(raw(n)), touched).drop(*names)  # touched keys before anything is summed
+            before, after = {n: zset.consolidate(was)}, {n: zset.consolidate(zset.add(was, deltas[n]))}
+        else:
+            before = {n: self._state(n, version - 1) for n in plan.sources}
+            after = {n: zset.consolidate(zset.add(before[n], deltas[n])) if n in deltas else before[n] for n in plan.sources}
         old, new = (self._eval(sql, {n: zset.expand(z) for n, z in s.items()}) for s in (before, after))
         return zset.diff_rows(new, old)
 
+    def _sums_delta(self, view: str, delta: DataFrame, version: int) -> DataFrame:
+        """Counts and sums of the delta's rows, added to those of the touched groups: their rows go and come."""
+        plan = self.plans[view]
+        names = self.store.schema(f"view.{view}").fieldNames()
+        keys = names[: len(plan.keys)]
+        change = self._eval(plan.weighted, {plan.sources[0]: delta}).toDF(*names)
+        was = zset.semi(self.store.snapshot(f"view.{view}", version - 1, raw=True), change.select(*keys))
+        old = zset.consolidate(was).drop(WEIGHT)
+        summed = [F.sum(n).cast(f.dataType).alias(n) for n, f in zip(names, self.store.schema(f"view.{view}").fields, strict=True) if n not in keys]
+        new = old.unionByName(change).groupBy(*keys).agg(*summed).where(F.col("__n") != 0)
+        return zset.diff_rows(new, old)
+
     # ticks
     def apply(self, batch: dict[str, DataFrame], batch_id: str | None = None, watermark: int | None = None) -> int:
         """Apply rows (weight 1) or weighted rows to sources; returns the version after it.
 
         An empty batch changes nothing; a batch id that was applied before is passed over.
         """
-        if batch_id is not None and str(batch_id) in self.store.manifest["commits"]:
+        if batch_id is not None and self._applied(str(batch_id)):
             return self.store.version
         version = self.store.version + 1
         deltas: dict[str, DataFrame] = {}
-        before: dict[str, DataFrame] = {}
-        for name, rows in batch.items():
-            s = self.sources[name]
-            z = rows if WEIGHT in rows.columns else zset.weighted(rows)
-            z = z.select(*[F.col(f"`{c.name}`").cast(c.type).alias(c.name) for c in s.columns], WEIGHT)
-            before[name] = self._state(name)
-            if s.primary_key is not None and WEIGHT not in rows.columns:
-                order = F.monotonically_increasing_id()
-                z = zset.upsert_delta(before[name], z.drop(WEIGHT).withColumn("__order", order), s.primary_key, "__order")
-            written = self.store.write(f"source.{name}", zset.consolidate(z), version)
-            if not written.where(F.col(WEIGHT) < 0).isEmpty():
-                zset.check_non_negative(zset.consolidate(zset.add(before[name], zset.semi(written, written.drop(WEIGHT).distinct()))), name)
-            if not written.isEmpty():
-                deltas[name] = written
-        if not deltas:
-            if batch_id is not None:
-                self.store.manifest["commits"][str(batch_id)] = self.store.version
-                self.store.publish()
-            return self.store.version
-        for view, plan in self.plans.items():  # in order of definition: a view reads earlier views only
-            if any(n in deltas for n in plan.sources):
-                old = {n: before[n] if n in before else self._state(n, version - 1) for n in plan.sources}
-                written = self.store.write(f"view.{view}", self._delta(view, deltas, old), version)
-                if not written.isEmpty():
-                    deltas[view] = written
-        self._publish(version, batch_id, watermark)
-        self.store.compact()
-        return version
+        try:
+            for name, rows in batch.items():
+                s = self.sources[name]
+                z = rows if WEIGHT in rows.columns else zset.weighted(rows)
+                z = z.select(*[F.col(f"`{c.name}`").cast(c.type).alias(c.name) for c in s.columns], WEIGHT)
+                if s.primary_key is not None and WEIGHT not in rows.columns:
+                    order = F.monotonically_increasing_id()
+                    z = zset.upsert_delta(self._state(name), z.drop(WEIGHT).withColumn("__order", order), s.primary_key, "__order")
+                written, count, negative = self.store.write(f"source.{name}", zset.consolidate(z), version)
+                if negative:
+                    gone = written.where(F.col(WEIGHT) < 0)
+                    held = zset.semi(self.store.snapshot(f"source.{name}", raw=True), gone.drop(WEIGHT))
+                    zset.check_non_negative(zset.consolidate(zset.add(held, gone)), name)
+                if count:
+                    deltas[name] = written
+            for view, plan in self.plans.items() if deltas else ():  # in order of definition: a view reads earlier views only
+                if any(n in deltas for n in plan.sources):
+                    written, count, _ = self.store.write(f"view.{view}", self._delta(view, deltas, version), version)
+                    if count:
+                        deltas[view] = written
+        except BaseException:
+            self.store.rollback()
+            raise
+        if deltas or batch_id is not None:
+            self._publish(version if deltas else version - 1, batch_id, watermark if deltas else None)
+        if deltas:
+            self.store.compact()
+        return self.store.version
+
+    def _applied(self, batch_id: str) -> bool:
+        name, _, number = batch_id.rpartition(":")
+        last = self.store.manifest["commits"].get(name if name and number.isdigit() else batch_id)
+        return last is not None and (not (name and number.isdigit()) or int(number) <= last)
+
+    def _commit(self, batch_id: str) -> None:
+        """Ids ``query:number`` are kept as the last number of the query, others as the last ``MOST_IDS``."""
+        commits = self.store.manifest["commits"]
+        name, _, number = batch_id.rpartition(":")
+        if name and number.isdigit():
+            commits[name] = int(number)
+            return
+        commits[batch_id] = -1
+        others = [k for k, v in commits.items() if v == -1]
+        for k in others[: max(0, len(others) - MOST_IDS)]:
+            del commits[k]
 
     def _publish(self, version: int, batch_id: str | None, watermark: int | None) -> None:
         m = self.store.manifest
+        self.store.attach()
         m["version"] = version
         if batch_id is not None:
-            m["commits"][str(batch_id)] = version
+            self._commit(str(batch_id))
         if watermark is not None:
             m["times"][str(version)] = watermark
         self.store.publish()
@@ -217,7 +316,7 @@ class Engine:
             sql = sql[: m.start()] + " " + ("TRUE AND" if m[2] else "AND TRUE" if re.match(r"\s*AND\b", m[0], re.IGNORECASE) else "TRUE") + " " + sql[m.end() :]
         at = F.lit(self.store.version if version is None else version).cast("long").alias("__mv_version")
         for n in self.views:
-            if re.search(rf"\b{re.escape(n)}\b", sql, re.IGNORECASE):
+            if "__step" not in n and re.search(rf"\b{re.escape(n)}\b", sql, re.IGNORECASE):
                 rows = self.view(n, version)
                 (rows.select("*", at) if "__mv_version" in sql else rows).createOrReplaceTempView(n)
         for n in self.sources:
@@ -228,11 +327,27 @@ class Engine:
     def describe(self, name: str | None = None) -> list[tuple]:
         """(view, mode, version) of all views, or (column, type) of one."""
         if name is None:
-            return [(n, self.plans[n].mode, self.store.version) for n in self.views]
+            return [(n, self.mode(n), self.store.version) for n in self.views if "__step" not in n]
         if name not in self.views:
             raise DefinitionError(f"no view {name}")
         return [(f.name, f.dataType.simpleString()) for f in self.store.schema(f"view.{name}").fields]
 
+    def mode(self, name: str) -> str:
+        """How a view is kept: the modes of its steps, innermost first."""
+        own = [n for n in self.views if n.startswith(f"{name}__step")]
+        return " > ".join(self.plans[n].mode for n in [*own, name])
+
+    def explain(self, name: str) -> str:
+        """A view's steps: how each is kept, what it reads, its query, and Spark's plan of it over empty tables."""
+        if name not in self.views:
+            raise DefinitionError(f"no view {name}")
+        out = []
+        for n in [*(x for x in self.views if x.startswith(f"{name}__step")), name]:
+            p = self.plans[n]
+            plan = self._shape(self.views[n].sql)._jdf.queryExecution().optimizedPlan().toString()
+            out.append(f"{n}: {p.mode} over {', '.join(p.sources) or 'nothing'}" + (f" by {', '.join(p.keys)}" if p.keys else "") + f"\n{self.views[n].sql}\n{plan}")
+        return "\n".join(out)
+
     def subscribe(self, name: str, snapshot: bool = False, as_of: int | None = None) -> DataFrame:
         """version, diff, time and the view's columns: a snapshot if asked for, then each later delta.
 

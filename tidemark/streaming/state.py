@@ -1,9 +1,11 @@
 """Versioned Z-sets in Parquet with one JSON manifest, published by an atomic rename.
 
 A table is a list of layers, each a directory of weighted rows written at one version. Its snapshot
-at a version is the consolidated sum of the layers up to it. Every ``COMPACT`` layers the sum is
-written as one new base layer. What no retained version and no sink needs is deleted; what came before
-a base can't be read any more. Files go through Hadoop's file system, so any store that Spark can write will do.
+at a version is the consolidated sum of the layers up to it. A layer that is written belongs to the
+table only once it is published with its version; if the tick fails before, ``rollback`` deletes it.
+When more than ``COMPACT`` layers are older than all that retained versions and sinks need, their sum is
+written as one new base layer and they are deleted; what came before a base can't be read any more.
+Files go through Hadoop's file system, so any store that Spark can write will do.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import zset
@@ -28,6 +31,7 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.root))
         self.manifest = self._read() or {"version": 0, "tables": {}, "commits": {}, "times": {}, "cursors": {}}
+        self.pending: list[tuple[str, dict]] = []
 
     # files
     def _read(self) -> dict | None:
@@ -71,8 +75,8 @@ class Store:
             return self.spark.createDataFrame([], self._weighted(name))
         return self.spark.read.schema(self._weighted(name)).parquet(*[f"{self.root}/{p}" for p in paths])
 
-    def snapshot(self, name: str, version: int | None = None) -> DataFrame:
-        """The consolidated Z-set at a version (the latest by default)."""
+    def snapshot(self, name: str, version: int | None = None, raw: bool = False) -> DataFrame:
+        """The consolidated Z-set at a version (the latest by default); ``raw``: its layers' rows as they are."""
         layers = self.manifest["tables"][name]["layers"]
         if version is not None:
             self.check_kept(name, version)
@@ -80,7 +84,7 @@ class Store:
         bases = [i for i, x in enumerate(layers) if x["base"]]
         layers = layers[bases[-1] :] if bases else layers
         z = self._load(name, [x["path"] for x in layers])
-        return z if len(layers) == 1 else zset.consolidate(z)
+        return z if len(layers) == 1 or raw else zset.consolidate(z)
 
     def empty(self, name: str) -> DataFrame:
         return self._load(name, [])
@@ -100,27 +104,45 @@ class Store:
         """Versions after which the table changed and whose deltas are still there."""
         return sorted({x["version"] for x in self.manifest["tables"][name]["layers"] if not x["base"]})
 
-    def write(self, name: str, delta: DataFrame, version: int) -> DataFrame:
-        """Write a consolidated delta for a version that is not published yet; returns it as written."""
+    def write(self, name: str, delta: DataFrame, version: int) -> tuple[DataFrame, int, bool]:
+        """Write a consolidated delta for a version that is not published yet: as written, its rows, whether any weight is negative."""
         path = f"{name}/{version}-{uuid.uuid4().hex[:8]}"
         names = [f.name for f in self.schema(name).fields]
+        layer = {"version": version, "path": path, "base": False}
+        self.pending.append((name, layer))
         delta.select(*[f"`{n}`" for n in names], WEIGHT).write.parquet(f"{self.root}/{path}")
         written = self._load(name, [path])
-        if not written.isEmpty():
-            self.manifest["tables"][name]["layers"].append({"version": version, "path": path, "base": False})
-        return written
+        rows, negative = written.agg(F.count("*"), F.coalesce(F.min(WEIGHT) < 0, F.lit(False))).first()
+        if not rows:
+            self.pending.pop()
+            self._fs.delete(self._path(f"{self.root}/{path}"), True)
+            written = self.empty(name)
+        return written, rows, negative
+
+    def attach(self) -> None:
+        """What was written becomes part of its tables; to be published with its version."""
+        for name, layer in self.pending:
+            self.manifest["tables"][name]["layers"].append(layer)
+        self.pending.clear()
+
+    def rollback(self) -> None:
+        """Forget and delete what was written since the last publication."""
+        for _, layer in self.pending:
+            self._fs.delete(self._path(f"{self.root}/{layer['path']}"), True)
+        self.pending.clear()
 
     def compact(self) -> None:
-        """One base layer for tables with many; drop what lies before the oldest retained version and all cursors of the table's sinks."""
+        """One base layer for the many of a table that lie before its oldest retained version and all cursors of its sinks."""
         for name, t in self.manifest["tables"].items():
             waiting = [self.manifest["cursors"].get(s, 0) for s, of in self.manifest.get("sinks", {}).items() if f"view.{of}" == name]
             oldest = min([self.version - self.retain + 1, *waiting])
-            since = len(t["layers"]) - max([i for i, x in enumerate(t["layers"]) if x["base"]], default=0)
             before = [x for x in t["layers"] if x["version"] <= oldest]
-            if since > COMPACT and any(not x["base"] for x in before):
+            if len(before) > COMPACT:
                 path = f"{name}/base-{oldest}-{uuid.uuid4().hex[:8]}"
                 self.snapshot(name, oldest).write.parquet(f"{self.root}/{path}")
                 t["layers"] = [{"version": oldest, "path": path, "base": True}, *[x for x in t["layers"] if x["version"] > oldest]]
+                least = min(self.oldest(n) for n in self.manifest["tables"])
+                self.manifest["times"] = {v: x for v, x in self.manifest["times"].items() if int(v) >= least}
                 self.publish()
                 for x in before:
                     self._fs.delete(self._path(f"{self.root}/{x['path']}"), True)
