@@ -263,3 +263,104 @@ def test_auction_stream(spark):
     first = b.orderBy("bidder").first()
     assert (first.auction, first.bidder, first.price, first.channel, first.date_time) == (1, 10_001, 1_001, "apple", dt.datetime(2023, 11, 14, 22, 13, 20, 1000))
     assert b.groupBy("auction", "bidder").agg(F.count("*")).count() == 23_456
+
+
+def pairs(spark, *p):
+    return spark.createDataFrame(list(p), "auction long, price long")
+
+
+def test_a_rejected_batch_leaves_nothing(spark, tmp_path):
+    e = sums(spark, tmp_path / "s")
+    e.apply({"bids": pairs(spark, (1, 10))})
+    folders = set((tmp_path / "s").rglob("*.parquet"))
+    with pytest.raises(zset.NegativeWeight):
+        e.apply({"bids": zset.weighted(pairs(spark, (9, 5)), -1)})
+    assert set((tmp_path / "s").rglob("*.parquet")) == folders
+    e.apply({"bids": pairs(spark, (2, 7))})
+    e.apply({"bids": pairs(spark, (9, 5))})
+    assert rows(e.view("total")) == [(22,)]
+    assert rows(zset.expand(sums(spark, tmp_path / "s").store.snapshot("source.bids"))) == [(1, 10), (2, 7), (9, 5)]
+
+
+def test_bases_are_written_only_for_old_layers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "COMPACT", 2)
+    e = Engine(spark, str(tmp_path / "s"), retain=3)
+    e.run_program("CREATE SOURCE bids (auction BIGINT, price BIGINT); CREATE MATERIALIZED VIEW v AS SELECT auction, price FROM bids")
+    bases = []
+    for i in range(8):
+        e.apply({"bids": pairs(spark, (i, i))})
+        bases.append(next((x["version"] for x in e.store.manifest["tables"]["view.v"]["layers"] if x["base"]), None))
+    assert bases == [None] * 4 + [3, 3, 5, 5]
+    assert len(rows(e.view("v"))) == 8 and len(rows(e.view("v", 6))) == 6
+
+
+def test_commits_are_bounded_and_watermarks_survive(spark, tmp_path):
+    e = sums(spark, tmp_path / "s")
+    for i in range(4):
+        assert e.apply({"bids": pairs(spark, (1, i))}, f"q:{i}") == i + 1
+    assert e.apply({"bids": pairs(spark, (1, 9))}, "q:2") == 4 and e.store.manifest["commits"] == {"q": 3}
+    e.run_program("CREATE SOURCE times (at TIMESTAMP, n BIGINT)")
+    line = lambda at, n: (("times"), json.dumps({"at": at, "n": n}))
+    batch = lambda *r: spark.createDataFrame(list(r), "source string, payload string")
+    one = driver.Ticker(e, "s", allowed_lateness_ms=0)
+    one.marks.update("bids", 10**15)
+    one(batch(line(5_000, 1)), 0)
+    again = driver.Ticker(e, "s", allowed_lateness_ms=0)
+    assert again.marks.value == 5_000
+    again(batch(line(4_000, 2), line(6_000, 3)), 1)
+    assert [r.n for r in zset.expand(e.store.snapshot("source.times")).orderBy("n").collect()] == [1, 3]
+
+
+def test_http_requests_repeat_whatever_the_partitions(spark, tmp_path):
+    e = sums(spark, tmp_path / "s")
+    e.run_program("CREATE MATERIALIZED VIEW v AS SELECT auction, price FROM bids")
+    e.apply({"bids": pairs(spark, *((i, i) for i in range(60)))})
+    changes = e.subscribe("v")
+    sent = []
+    for parts in (1, 5):
+        folder = tmp_path / f"sent{parts}"
+        folder.mkdir()
+
+        def post(url, body, headers, folder=str(folder)):
+            name = headers["Idempotency-Key"].replace(":", "_")
+            with open(f"{folder}/{name}", "wb") as f:
+                f.write(body)
+
+        from tidemark.sinks import to_http
+
+        to_http("http://x", 7, post)(changes.repartition(parts), 1)
+        sent.append({p.name: p.read_bytes() for p in folder.iterdir()})
+    assert sent[0] == sent[1] and len(sent[0]) > 5
+    assert sorted(r["auction"] for b in sent[0].values() for r in json.loads(b)) == list(range(60))
+
+
+def test_names_in_views(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    e.run_program("CREATE SOURCE a (k BIGINT, st VARCHAR); CREATE SOURCE st (x BIGINT)")
+    e.execute("CREATE MATERIALIZED VIEW v AS SELECT max(k) AS st FROM a GROUP BY st")  # the column goes before the alias
+    e.execute("CREATE MATERIALIZED VIEW w AS SELECT k, st FROM a")  # st is a column, not the source
+    assert e.plans["w"].sources == ["a"] and e.mode("w") == "stateless"
+    e.apply({"a": spark.createDataFrame([(1, "x"), (5, "x"), (3, "y")], "k long, st string")})
+    assert rows(e.view("v")) == [(3,), (5,)]
+    assert "stateless over a" in e.explain("w")
+
+
+def test_functions_give_null_for_what_is_not_there(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    q = lambda x: e.query(f"SELECT {x} AS x").first().x
+    assert q("REGEXP_EXTRACT('ab1', '([a-z]+)(1)', 2)") == "1"
+    assert q("REGEXP_EXTRACT('ab1', '([a-z', 1)") is None and q("REGEXP_EXTRACT('ab1', '(a)', 2)") is None and q("REGEXP_EXTRACT('ab1', '(x)', 1)") is None
+    at = dt.datetime(2024, 1, 1, 0, 7)
+    assert q("hop_start(TIMESTAMP_NTZ'2024-01-01 00:07:00', 300000, 900000)") == at.replace(minute=5)
+    assert q("hop_end(TIMESTAMP_NTZ'2024-01-01 00:07:00', 300000, 900000)") == at.replace(minute=20)
+
+
+def test_sessions_merge(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    e.run_program("CREATE SOURCE c (u BIGINT, at TIMESTAMP); CREATE MATERIALIZED VIEW v AS SELECT u, SESSION(at, 60000) AS s, count(*) AS n FROM c GROUP BY u, SESSION(at, 60000)")
+    t = lambda s: dt.datetime(2024, 1, 1, 0, 0, 0) + dt.timedelta(seconds=s)
+    add = lambda *r: e.apply({"c": spark.createDataFrame([(1, t(s)) for s in r], "u long, at timestamp_ntz")})
+    add(0, 100)
+    assert rows(e.view("v")) == [(1, t(0), 1), (1, t(100), 1)]
+    add(50)  # joins the two
+    assert rows(e.view("v")) == [(1, t(0), 3)]
