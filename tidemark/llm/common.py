@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+ARROW_BYTES = 4 << 20
+_LOCAL: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table, by Spark's own reader, so any store that Spark can read will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test session) is a temporary folder set.
+    Only where a local session (as in tests) names none is a temporary folder set; on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tidemark-")
+        _LOCAL[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -33,7 +40,17 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch(spark)
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()  # the driver's cleaner then removes the shuffle files that led here
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what ``cut`` wrote, once all that reads it has been written itself."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -44,6 +61,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose rows Spark passes to Python in Arrow batches of about ``ARROW_BYTES`` (one row at least), not of 10,000 rows.
+
+    A limit that the session has set itself stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
     """Slice Arrow batches so that each holds about ``most`` bytes of text at most (one row at least)."""
     import numpy as np
@@ -74,6 +102,15 @@ def release() -> None:
         libc.malloc_trim(0)
 
 
+def few_arenas() -> None:
+    """Let all threads of a Python worker allocate from two heaps: the default is eight for each core, each of which keeps what is freed."""
+    import ctypes
+
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-8, 2)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Rows sorted by the first ``keys`` columns, in tables that never divide a group."""
     held: list[pa.RecordBatch] = []

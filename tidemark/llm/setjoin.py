@@ -10,8 +10,9 @@ Runs are repeated until a pair at the threshold is met in some bucket with the t
 
 Small buckets are brute-forced on bit sketches: pairs that may be similar tie their sets together.
 What is tied, in connected components, is a block; the sets of each block are then compared exactly,
-all with all, so that no link inside a block is missed. Blocks of over ``PART`` sets are compared in
-pairs of parts, by as many tasks. Only counts and one tie for each set leave a comparison, never pairs.
+all with all, so that no link inside a block is missed. Blocks of over ``PART`` sets or ``PART_BYTES``
+are compared in pairs of parts, by as many tasks. Only counts and one tie for each set leave a
+comparison, never pairs.
 
 Documents with equal sets are one class from the start, and only one document of a class is compared.
 
@@ -20,7 +21,10 @@ are linked to it, directly or through others; n_links, the number of other class
 threshold of its own; n_copies, the number of documents in its class.
 
 Defined results: a text without words (null, empty) is alone in its class and group; a null id counts
-as the least long; rows that repeat an id are members of their own texts' classes.
+as the least long; rows that repeat an id are members of their own texts' classes; a very long text is
+a batch, and if need be a part, of its own, with all its shingles; of equal ids the class takes the
+text of the least hash; an empty table gives an empty one; only the two named columns are read, so
+others can't clash.
 """
 
 from __future__ import annotations
@@ -30,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_bytes, cut, release, whole_groups
+from tidemark.llm.common import bounded, by_bytes, cut, discard, release, whole_groups
 from tidemark.llm.components import components
 from tidemark.llm.decontaminate import text_buffers, words_of
 
@@ -44,7 +48,8 @@ DEPTH = 4
 RECALL = 0.999
 BUCKET = 512
 PART = 1_024
-ALIKE = 100  # of 128 sketch bits: one in 46,500 pairs at the threshold is below it, in all runs alike
+PART_BYTES = 4 << 20
+ALIKE = 100  # of 128 sketch bits: one in 46,500 pairs at the threshold is below it
 BATCH_BYTES = 2 << 20
 
 _RNG = np.random.default_rng(2_018)
@@ -63,13 +68,20 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def runs_needed(recall: float = RECALL, least: float = LEAST, depth: int = DEPTH) -> int:
     """Runs after which a pair at the threshold has met at ``depth`` with the target recall.
 
-    The pair's shared children are Poisson with mean similarity / least, 1 at the threshold. Over the spread
-    of shared tokens, which are drawn once for all runs, the recall is less: 0.9984 for 19 runs at depth 4.
+    The tokens are drawn once for all runs, so a pair shares a binomial number of them; for each number,
+    its children in common are Poisson with mean shared / (least * TOKENS) at each level.
     """
-    meet = 1.0
-    for _ in range(depth):
-        meet = 1 - math.exp(-meet)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    weight, miss = [], []
+    for shared in range(TOKENS + 1):
+        weight.append(math.comb(TOKENS, shared) * least**shared * (1 - least) ** (TOKENS - shared))
+        meet = 1.0
+        for _ in range(depth):
+            meet = 1 - math.exp(-shared / (least * TOKENS) * meet)
+        miss.append(1 - meet)
+    runs = 1
+    while sum(w * m**runs for w, m in zip(weight, miss, strict=True)) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -145,8 +157,8 @@ def _embed(runs: int, least: float):
             name = [_name(sets[i]) if i in slot else None for i in range(b.num_rows)]
             paths = [path[ends[slot[i]] - sizes[slot[i]] : ends[slot[i]]] if i in slot else [] for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(name, pa.binary()), pa.array([packed[slot[i]].tobytes() if i in slot else None for i in range(b.num_rows)], pa.binary()), pa.array([mins[slot[i]].tobytes() if i in slot else None for i in range(b.num_rows)], pa.binary()), pa.array(paths, pa.list_(pa.int64()))],
-                names=["id", "set", "sketch", "mins", "paths"],
+                [b.column(0), b.column(2), pa.array(name, pa.binary()), pa.array([packed[slot[i]].tobytes() if i in slot else None for i in range(b.num_rows)], pa.binary()), pa.array([mins[slot[i]].tobytes() if i in slot else None for i in range(b.num_rows)], pa.binary()), pa.array(paths, pa.list_(pa.int64()))],
+                names=["id", "digest", "set", "sketch", "mins", "paths"],
             )
         release()
 
@@ -163,6 +175,7 @@ def _children(least: float):
             row, child = _picks(path, _tokens(mins), least)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column(1).take(take), b.column(2).take(take)], names=["path", "set", "sketch"])
+        release()
 
     return run
 
@@ -230,11 +243,12 @@ def _bucket_ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = sets.combine_chunks() if isinstance(sets, pa.ChunkedArray) else sets
         l, r = (pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64)) for x in (left, right))
         yield pa.RecordBatch.from_arrays([sets.take(l), sets.take(r)], names=["u", "v"])
+    release()
 
 
-def _parts(df: DataFrame, key: str, size: str, member: str, most: int) -> DataFrame:
-    """Each row of a group of over ``most`` rows once for every pair of parts that its part is in: lo, hi, own part."""
-    n = F.ceil(F.col(size) / most).cast("int")
+def _parts(df: DataFrame, n: Column, member: str) -> DataFrame:
+    """Each row of a group of ``n`` parts once for every pair of parts that its part is in: lo, hi, own part."""
+    n = F.greatest(n, F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64(member, F.lit(11)), n).cast("int")
     return df.withColumn("_n", n).withColumn("own", own).withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("lo", F.least("own", "_p")).withColumn("hi", F.greatest("own", "_p")).drop("_n", "_p")
 
@@ -253,13 +267,14 @@ def _compare(least: float):
                 end = at
                 while end < len(keys) and keys[end] == keys[at]:
                     end += 1
-                sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in t.column("items").slice(at, end - at)]
+                some = [i for i in range(at, end) if i == at or names[i] != names[i - 1]]  # rows that repeat an id and text
+                sets = [np.frombuffer(t.column("items")[i].as_py(), dtype=np.uint64) for i in some]
                 match = _similar(sets, least)
                 if keys[at][1] != keys[at][2]:  # two parts: pairs inside one are another task's
-                    side = np.array(own[at:end])
+                    side = np.array([own[i] for i in some])
                     match &= side[:, None] != side[None, :]
                 label, links = _linked(match), match.sum(1)
-                out += [(names[at + i], names[at + int(label[i])], int(links[i])) for i in range(end - at)]
+                out += [(names[i], names[some[int(label[j])]], int(links[j])) for j, i in enumerate(some)]
                 at = end
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], names=["u", "v", "links"])
@@ -284,14 +299,16 @@ def _similar(sets: list[np.ndarray], least: float) -> np.ndarray:
         shared = np.zeros((n, n), dtype=np.float32)
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
-        width = max(256, (1 << 24) // n)
+        width = max(256, (1 << 22) // n)
         for lo in range(0, int(often.sum()), width):
             a, b = np.searchsorted(col, (lo, lo + width))
             m = np.zeros((n, width), dtype=np.float32)
             m[row[a:b], col[a:b] - lo] = 1
             shared += m @ m.T
-    union = size[:, None] + size[None, :] - shared
-    match = shared >= np.float64(least) * union - 1e-9
+    match = np.empty((n, n), dtype=bool)
+    for lo in range(0, n, 128):
+        union = size[lo : lo + 128, None] + size[None, :] - shared[lo : lo + 128]
+        match[lo : lo + 128] = shared[lo : lo + 128] >= np.float64(least) * union - 1e-9
     np.fill_diagonal(match, False)
     return match
 
@@ -303,15 +320,17 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right = [len(s) > 0 and _name(s) == x for s, x in zip(sets, b.column(0).to_pylist(), strict=True)]
         keep = [i for i, ok in enumerate(right) if ok]
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64())), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["set", "block", "items"])
+    release()
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, least: float = LEAST, recall: float = RECALL, bucket: int = BUCKET, part: int = PART) -> DataFrame:
     """One row for each document: key, class_id, group_id, n_links, n_copies."""
     runs = runs_needed(recall, least)
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("id"), F.col(text).alias("text"))
-    embedded = cut(rows.mapInArrow(_embed(runs, least), "id long, set binary, sketch binary, mins binary, paths array<long>"))
+    rows = bounded(docs).select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("digest"))
+    embedded = cut(rows.mapInArrow(_embed(runs, least), "id long, digest long, set binary, sketch binary, mins binary, paths array<long>"))
     first = lambda c: F.first(c).alias(c)
-    classes = cut(embedded.where("set is not null").groupBy("set").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies"), *map(first, ("sketch", "mins", "paths"))))
+    one = F.min(F.struct("id", "digest")).alias("one")
+    classes = cut(embedded.where("set is not null").groupBy("set").agg(one, F.count("*").alias("n_copies"), *map(first, ("sketch", "mins", "paths"))).select("set", F.col("one.id").alias("class_id"), F.col("one.digest").alias("digest"), "n_copies", "sketch", "mins", "paths"))
 
     level, ties, depth = classes.select(F.explode("paths").alias("path"), "set", "sketch"), [], 2
     while True:
@@ -320,7 +339,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, least: float = LEAST,
         sized = level.join(sizes, "path")
         sized = sized if last else cut(sized)
         small = sized if last else sized.where(F.col("size") <= bucket)
-        grouped = _parts(small, "path", "size", "set", bucket * 4 if last else bucket).select("path", "lo", "hi", "set", "sketch")
+        grouped = _parts(small, F.ceil(F.col("size") / (bucket * 4 if last else bucket)), "set").select("path", "lo", "hi", "set", "sketch")
         ties.append(cut(grouped.repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi").mapInArrow(_bucket_ties, "u binary, v binary").distinct()))
         if last:
             break
@@ -332,17 +351,23 @@ def near_duplicates(docs: DataFrame, key: str, text: str, least: float = LEAST,
     edges = ties[0]
     for t in ties[1:]:
         edges = edges.unionByName(t)
-    blocks = cut(components(edges))  # node, root
-
-    members = blocks.join(classes.select("set", "class_id"), blocks["node"] == classes["set"]).select("class_id", "set", F.col("root").alias("block"))
-    found = members.join(rows, members["class_id"] == rows["id"]).select("set", "block", "text").mapInArrow(_set_rows, "set binary, block binary, items binary").dropDuplicates(["set"])
-    sizes = blocks.groupBy(F.col("root").alias("block")).agg(F.count("*").alias("size"))
-    parted = _parts(found.join(sizes, "block"), "block", "size", "set", part).select("block", "lo", "hi", "own", "set", "items")
+    # blocks by 64 bits of the sets' names: should two names agree in them, their blocks are one, which costs comparisons only
+    blocks = cut(components(edges.select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v"))))  # node, root
+    discard(*ties)
+    members = classes.select("set", "class_id", "digest", F.xxhash64("set").alias("node")).join(blocks, "node").select("class_id", "digest", "set", F.col("root").alias("block"))
+    # by id and text: null ids, or one that many rows share, meet only rows of their own text
+    found = cut(members.join(rows, (members["class_id"] == rows["id"]) & (members["digest"] == rows["digest"])).select("set", "block", "text").mapInArrow(_set_rows, "set binary, block long, items binary"))
+    sizes = found.groupBy("block").agg(F.count("*").alias("size"), F.sum(F.length("items")).alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("size") / part), F.ceil(F.col("bytes") / PART_BYTES))
+    # joined by a struct, as in components: the sets of a hot block can be split
+    sized = found.withColumn("_w", F.struct("block")).join(sizes.select(F.struct("block").alias("_w"), "size", "bytes"), "_w")
+    parted = _parts(sized, parts, "set").select("block", "lo", "hi", "own", "set", "items")
     compared = cut(parted.repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi", "set").mapInArrow(_compare(least), "u binary, v binary, links long"))
+    discard(found, blocks)
     links = compared.groupBy(F.col("u").alias("set")).agg(F.sum("links").alias("n_links")).where("n_links > 0")
     groups = components(compared.where("u <> v").select("u", "v").distinct())
     known = classes.select("set", "class_id", "n_copies").join(links, "set", "left").join(groups.withColumnRenamed("node", "set"), "set", "left")
-    known = cut(known.select("set", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", F.col("set")).alias("root")))
+    known = known.select("set", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", F.col("set")).alias("root"))
     heads = known.groupBy("root").agg(F.min("class_id").alias("group_id"))
     known = known.join(heads, "root").select("set", "class_id", "group_id", "n_links", "n_copies")
     out = embedded.select("id", "set").join(known, "set", "left")
