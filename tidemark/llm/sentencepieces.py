@@ -6,12 +6,18 @@ extra spaces, the metaspace marker), a Unigram model with the scores, or for BPE
 that the scores imply, with byte fallback.
 
 A text is cut at places that no piece can span (see ``token_counts``), its distinct words are encoded
-once in a multithreaded batch, and their ids are put together by vectorised gathers. Every distinct
-word is also encoded by the sentencepiece library: where the two differ, the library's ids are used
-and the text is marked. So a text's ids are always the library's.
+once by the backend in multithreaded batches of ``BATCH_WORDS``, and their ids are put together by
+vectorised gathers. Every distinct word is also encoded by the sentencepiece library, and its ids are
+decoded again by the backend's decoder: ``parity`` is whether all words of a text have the library's
+ids, ``exact`` whether all come back as they were. A text's ids are always the backend's.
+
+``decode`` takes any ids and gives them to the backend's decoder whole.
 
 Defined results: a null text is an empty one, without ids; decoding gives the marker back as a space
-and drops the dummy prefix; ids outside the vocabulary raise; repeated rows are treated each.
+and drops the dummy prefix; control pieces decode to nothing, the unknown piece to its name, and ids
+outside the vocabulary raise; repeated rows are treated each; very
+long texts are a batch of their own; columns of the input that clash with the results are replaced; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,6 +25,8 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import by_bytes, fresh, release
+from tidemark.llm.common import bounded, by_bytes, few_arenas, fresh, release
 from tidemark.llm.token_counts import MARK, Counter
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 BATCH_BYTES = 1 << 20
-CACHE_WORDS = 150_000
+CACHE_WORDS, CACHE_CHARS = 200_000, 4 << 20
+BATCH_WORDS = 1 << 14
 THREADS = 2
 
 
@@ -114,7 +123,7 @@ def backend(spec: Spec):
         usable = {p for p, _, k in spec.pieces if k in (NORMAL, USER)}
         merges = [(-s, i, p[:c], p[c:]) for i, (p, s, k) in enumerate(spec.pieces) if k == NORMAL for c in range(1, len(p)) if p[:c] in usable and p[c:] in usable]
         merges.sort(key=lambda m: m[:2])
-        model = models.BPE(vocab, [m[2:] for m in merges], unk_token=None if unk is None else spec.pieces[unk][0], fuse_unk=True, byte_fallback=spec.byte_fallback)
+        model = models.BPE(vocab, [m[2:] for m in merges], unk_token=None if unk is None else spec.pieces[unk][0], fuse_unk=True, byte_fallback=spec.byte_fallback, cache_capacity=0)
     else:
         raise ValueError(f"model type {spec.kind}: only unigram and BPE models have scores to rebuild")
     t = Tokenizer(model)
@@ -148,67 +157,72 @@ class Codec:
         if raw is None:
             with open(path, "rb") as f:  # the library's own file, on every machine
                 raw = f.read()
-        self.spec = parse_model(raw)
-        self.tokenizer, self.cutter = backend(self.spec), Counter(path)
-        if self.spec.trim_spaces or not self.spec.dummy_prefix or not self.spec.escape_spaces or self.spec.charsmap:
+        spec = parse_model(raw)
+        self.tokenizer, self.cutter, self.size_of_vocabulary = backend(spec), Counter(path), len(spec.pieces)
+        if spec.trim_spaces or not spec.dummy_prefix or not spec.escape_spaces or spec.charsmap:
             self.cutter.words = False  # such normalisers look across spaces: texts stay whole
-        raw = [self._bytes(p, k) for p, _, k in self.spec.pieces]
-        self.piece_size = np.array([len(b) for b in raw], dtype=np.int64)
-        self.piece_start = np.cumsum(self.piece_size) - self.piece_size
-        self.piece_bytes = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        self.control = {i for i, p in enumerate(spec.pieces) if p[2] == CONTROL}
         self.clear()
 
-    @staticmethod
-    def _bytes(piece: str, kind: int) -> bytes:
-        if kind == BYTE:
-            return bytes([int(piece[3:5], 16)])
-        if kind == CONTROL:
-            return b""
-        return " ⁇ ".encode() if kind == UNKNOWN else piece.replace(MARK, " ").encode()
-
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.start, self.size, self.same = (np.zeros(0, dtype=t) for t in (np.int64, np.int64, bool))
+        self.chars = 0
+        self.start, self.size, self.same, self.back, self.seen = (np.zeros(0, dtype=t) for t in (np.int64, np.int32, bool, bool, np.int32))
         self.flat = np.zeros(0, dtype=np.int32)
 
+    def forget(self) -> None:
+        """Keep the words that several batches had, or none if those are many."""
+        often = self.seen > 1
+        words = [w for w, o in zip(self.known, often.tolist(), strict=True) if o]
+        chars = sum(map(len, words))
+        if len(words) > CACHE_WORDS * 3 // 4 or chars > CACHE_CHARS * 3 // 4:
+            return self.clear()
+        self.flat = self.flat[_ragged(self.start[often], self.size[often])]
+        self.size, self.same, self.back = self.size[often], self.same[often], self.back[often]
+        self.seen = np.ones(len(words), dtype=np.int32)
+        self.start = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.known, self.chars = dict(zip(words, range(len(words)), strict=True)), chars
+
     def learn(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        right = self.cutter.model.encode(words, num_threads=1)
-        same = np.array([a == b for a, b in zip(ids, right, strict=True)], dtype=bool)
-        size = np.array([len(r) for r in right], dtype=np.int64)
+        flat, size, same, back = [self.flat], [self.size], [self.same], [self.back]
+        for i in range(0, len(words), BATCH_WORDS):
+            some = words[i : i + BATCH_WORDS]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            library = self.cutter.model.encode(some, num_threads=1)
+            again = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+            size.append(np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)))
+            same.append(np.fromiter(map(eq, ids, library), dtype=bool, count=len(ids)))
+            back.append(np.fromiter((a == w.replace(MARK, " ") for a, w in zip(again, some, strict=True)), dtype=bool, count=len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(size[-1].sum())))
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size, self.same = np.concatenate([self.size, size]), np.concatenate([self.same, same])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for r in right for i in r), dtype=np.int32, count=int(size.sum()))])
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, each text's first, and whether the rebuilt tokenizer gave each text's ids."""
-        if len(self.known) > CACHE_WORDS:
-            self.clear()
+        self.chars += sum(map(len, words))
+        self.flat, self.size, self.same, self.back = (np.concatenate(x) for x in (flat, size, same, back))
+        self.start = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.seen = np.concatenate([self.seen, np.zeros(len(words), dtype=np.int32)])
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, each text's first, and whether each text's are the library's and come back as the text."""
+        if len(self.known) > CACHE_WORDS or self.chars > CACHE_CHARS:
+            self.forget()
         split = [self.cutter.split(t) if t else [] for t in texts]
         if todo := list(set().union(*split).difference(self.known)):
             self.learn(todo)
-        known = self.known
-        word = np.array([known[w] for ws in split for w in ws], dtype=np.int64)
-        n = np.array([len(ws) for ws in split], dtype=np.int64)
+        word = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), dtype=np.int64)
+        self.seen += np.bincount(word, minlength=len(self.seen)) > 0
+        n = np.concatenate([[0], np.cumsum([len(ws) for ws in split], dtype=np.int64)])
         size = self.size[word]
         ids = self.flat[_ragged(self.start[word], size)]
-        begin = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
-        wrong = np.concatenate([[0], np.cumsum(~self.same[word])])[np.concatenate([[0], np.cumsum(n)])]
-        return ids, begin, np.diff(wrong) == 0
+        summed = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[n]
+        return ids, summed(size), np.diff(summed(~self.same[word])) == 0, np.diff(summed(~self.back[word])) == 0
 
-    def decode(self, ids: np.ndarray, begin: np.ndarray) -> list[str]:
-        """The text of each run of ids."""
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.piece_size)):
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        """The text of each list of ids, by the backend's decoder."""
+        seen = set(chain.from_iterable(ids))
+        if any(i is None or not 0 <= i < self.size_of_vocabulary for i in seen):
             raise ValueError("an id outside the vocabulary")
-        size = self.piece_size[ids]
-        data = self.piece_bytes[_ragged(self.piece_start[ids], size)].tobytes()
-        at = np.concatenate([[0], np.cumsum(size)])[begin]
-        drop = 1 if self.spec.dummy_prefix else 0
-        out = []
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            out.append(data[a + drop if data[a : a + 1] == b" " else a : b].decode(errors="replace"))
-        return out
+        if seen & self.control:
+            ids = [[i for i in x if i not in self.control] for x in ids]
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
 _CODECS: dict[str, Codec] = {}
@@ -220,6 +234,7 @@ def codec(path: str) -> Codec:
 
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        few_arenas()
         _CODECS[path] = Codec(path)
     return _CODECS[path]
 
@@ -233,13 +248,14 @@ def encode(df: DataFrame, text: str, resolve: Callable[[], str], out: str = "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = resolve()
         for b in by_bytes(batches, at, BATCH_BYTES):
-            ids, begin, same = codec(path).encode(b.column(at).to_pylist())
+            ids, begin, same, _ = codec(path).encode(b.column(at).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[:at], lists, pa.array(same)], names=[*names, out, "parity"])
-        codec(path).clear()
+        if path in _CODECS:
+            _CODECS[path].clear()
         release()
 
-    return df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(work)).mapInArrow(run, schema)
+    return bounded(df).select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(work)).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ids: str, resolve: Callable[[], str], out: str = "decoded") -> DataFrame:
@@ -253,16 +269,15 @@ def decode(df: DataFrame, ids: str, resolve: Callable[[], str], out: str = "deco
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                lists = part.column(at)
-                size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                texts = codec(path).decode(lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
+                texts = codec(path).decode([x or [] for x in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(texts, pa.string())], names=[*names, out])
+        release()
 
-    return df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{ids}`").alias(work)).mapInArrow(run, schema)
+    return bounded(df).select(*[F.col(f"`{c}`") for c in names], F.col(f"`{ids}`").alias(work)).mapInArrow(run, schema)
 
 
 def round_trip(df: DataFrame, text: str, resolve: Callable[[], str], keep_ids: bool = True) -> DataFrame:
-    """``df`` with n_tokens, ids, parity and exact: whether the decoded ids are the text, markers as spaces."""
+    """``df`` with n_tokens, ids (or their digest), parity and exact: whether the decoded words are the text's, markers as spaces."""
     names = [c for c in df.columns if c not in ("n_tokens", "ids", "ids_sha256", "parity", "exact")]
     work, at = fresh(df, "_text"), len(names)
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())) if keep_ids else T.StructField("ids_sha256", T.StringType()), T.StructField("parity", T.BooleanType()), T.StructField("exact", T.BooleanType())]
@@ -273,16 +288,15 @@ def round_trip(df: DataFrame, text: str, resolve: Callable[[], str], keep_ids: b
 
         path = resolve()
         for b in by_bytes(batches, at, BATCH_BYTES):
-            texts, own = b.column(at).to_pylist(), codec(path)
-            ids, begin, same = own.encode(texts)
-            exact = [d == (t or "").replace(MARK, " ") for d, t in zip(own.decode(ids, begin), texts, strict=True)]
+            ids, begin, same, exact = codec(path).encode(b.column(at).to_pylist())
             if keep_ids:
                 kept = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32()))
             else:
                 data, at_byte = ids.astype("<i4").tobytes(), (begin * 4).tolist()
                 kept = pa.array([hashlib.sha256(data[x:y]).hexdigest() for x, y in zip(at_byte[:-1], at_byte[1:], strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(np.diff(begin), pa.int64()), kept, pa.array(same), pa.array(exact)], names=schema.names)
-        codec(path).clear()
+        if path in _CODECS:
+            _CODECS[path].clear()
         release()
 
-    return df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(work)).mapInArrow(run, schema)
+    return bounded(df).select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(work)).mapInArrow(run, schema)

@@ -8,7 +8,10 @@ a batch is encoded once (a bounded cache keeps counts across batches), and words
 ``LONG`` characters are cut again at other safe pairs. Batches hold about ``BATCH_BYTES`` of text,
 so one very long text is a batch alone and short ones share one.
 
-Defined results: a null text counts as empty, 0 tokens. Repeated rows are counted each.
+A tokenizers file (``.json``) counts each whole text in one call.
+
+Defined results: a null text counts as empty, 0 tokens. Repeated rows are counted each. An empty table
+gives an empty one. A column of the input that clashes with the result is replaced.
 """
 
 from __future__ import annotations
@@ -21,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import by_bytes, fresh
+from tidemark.llm.common import bounded, by_bytes, fresh, release
 
 BATCH_BYTES = 1 << 20
 LONG = 4_096
-CACHE_WORDS = 600_000
+CACHE_WORDS, CACHE_CHARS = 600_000, 8 << 20
 MARK = "▁"  # how the library writes a space
 _RUNS = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -45,6 +48,7 @@ class Counter:
         self.stop = "\n" if not any("\n" in p for p in self.pairs) else None
         self.stop_cost = len(self.model.encode("\n")) if self.stop else 0
         self.known: dict[str, int] = {}
+        self.chars = 0  # in known
 
     def split(self, text: str) -> list[str]:
         """Words whose counts add up to the text's."""
@@ -74,6 +78,7 @@ class Counter:
 
     def learn(self, words: set[str]) -> None:
         todo, known = [w for w in words if w not in self.known], self.known
+        self.chars += sum(map(len, todo))
         long = [w for w in todo if len(w) > LONG and self.stop]
         short = [w for w in todo if not (len(w) > LONG and self.stop)]
         for i in range(0, len(short), 50_000):
@@ -84,8 +89,9 @@ class Counter:
             known[w] = sum(map(len, self.model.encode(parts, num_threads=1))) - self.stop_cost * (len(parts) - 1)
 
     def count(self, texts: list[str | None]) -> list[int]:
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self.known.clear()
+            self.chars = 0
         split = [self.split(t) if t else [] for t in texts]
         self.learn(set().union(*split))
         known = self.known
@@ -125,8 +131,9 @@ def count_tokens(df: DataFrame, text: str, resolve: Callable[[], str], out: str
             texts = b.column(at).to_pylist()
             n = counter(path).count(texts) if path.endswith(".model") else _tokenizer_counts(path, texts)
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(n, pa.int64())], names=[*names, out])
+        release()
 
-    return kept.mapInArrow(run, schema)
+    return bounded(kept).mapInArrow(run, schema)
 
 
 def public_model(name: str) -> Callable[[], str]:
