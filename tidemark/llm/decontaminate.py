@@ -1,21 +1,23 @@
 """Benchmark decontamination by suffix arrays of the training text.
 
-Each Arrow batch of documents is a shard. Its words become integers (hashes of their bytes, found in
-one vectorised pass), and its suffixes are sorted by their first ``WINDOW`` words: the shard's suffix
-array. Suffixes whose first two words begin no test window can't be found by any search and are left
-out before sorting. Every test suffix is then binary-searched in the shard's array, which gives its
-range and so all its places. Places of neighbouring test suffixes on one diagonal join to the longest
-verbatim match.
+Each ``SHARD_BYTES`` of documents are a shard. Its words become integers (64-bit hashes of their bytes,
+found in one vectorised pass; equal hashes are taken for equal words), and all its suffixes are sorted
+by their first ``WINDOW`` words: the shard's suffix array. Every test window is then binary-searched in
+it, which gives its range and so all its places. Places of neighbouring windows on one diagonal join
+to the longest verbatim match.
 
 Documents are never shuffled. The benchmark is sent to the tasks in blocks of at most ``BLOCK_BYTES``
-of text; a larger one takes several narrow passes over the documents, each adding to the matches.
+of text, each a broadcast of about three times that. A larger benchmark takes a pass over the
+documents for each block: its matches are added, the rows are written to the shared scratch folder,
+and its broadcast is destroyed before the next.
 
 Words are runs of digits, letters (A-Z lower-cased) and all characters from U+0080 on. A window is
 ``WINDOW`` words of an item, or the whole item if it is shorter.
 
 Defined results: null and empty texts have no words; items without words, text or id match nothing;
 repeated items count once by id; repeated documents are judged each; columns of the input that clash
-with the results are replaced.
+with the results are replaced; a very long text is a shard of its own and is searched whole; without
+documents the result is empty, and without a benchmark nothing is found.
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import by_bytes, fresh
+from tidemark.llm.common import bounded, by_bytes, cut, fresh, release
 
 WINDOW = 8
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 2 << 20
-CHUNK = 2 << 20
+CHUNK = 1 << 18
 
 _BYTE = np.arange(256)
 _WORD = ((_BYTE >= 48) & (_BYTE <= 57)) | ((_BYTE >= 65) & (_BYTE <= 90)) | ((_BYTE >= 97) & (_BYTE <= 122)) | (_BYTE >= 128)
@@ -41,7 +43,6 @@ _LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE)
 _RANDOM = np.random.default_rng(20_240_229).integers(1, 2**63, 256, dtype=np.uint64)[_LOWER] * np.uint64(2) + np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_PAIR = np.uint64(0xA0761D6478BD642F)
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -99,76 +100,83 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class TestSuffixes:
-    """A block of the benchmark: its windows as sorted keys, ready to be searched."""
+    """A block of the benchmark: its words as ranks in its own vocabulary, and its windows, ready to be searched.
+
+    About 12 bytes for each word of the block; keys are made for each shard.
+    """
 
     __test__ = False
 
     def __init__(self, items: list[tuple[object, str]]):
-        self.ids = [i for i, _ in items]
-        data, off = text_buffers(pa.array([t for _, t in items], pa.string()))
-        words, begin = words_of(data, off)
+        self.names = np.array([str(i) for i, _ in items], dtype=object)
+        words, begin = words_of(*text_buffers(pa.array([t for _, t in items], pa.string())))
         self.vocabulary, rank = np.unique(words, return_inverse=True)
-        rows, item, start, size, first = [], [], [], [], []
-        for i in range(len(items)):
-            a, b = begin[i], begin[i + 1]
-            w = min(WINDOW, b - a)
-            for s in range(a, b - w + 1 if w else a):
-                row = np.zeros(WINDOW, dtype=">u4")
-                row[:w] = rank[s : s + w] + 1
-                rows.append(row.tobytes())
-                item.append(i)
-                start.append(s - a)
-                size.append(w)
-                first.append(s if w > 1 else -s - 1)
-        self.item, self.start, self.size = (np.array(x, dtype=np.int64) for x in (item, start, size))
-        width = 4 * WINDOW
-        self.low = np.array(rows, dtype=f"S{width}") if rows else np.zeros(0, dtype=f"S{width}")
-        self.high = np.array([r[: 4 * w] + b"\xff" * (width - 4 * w) for r, w in zip(rows, size, strict=True)], dtype=f"S{width}") if rows else self.low
-        first = np.array(first, dtype=np.int64)
-        two, one = first[first >= 0], -1 - first[first < 0]
-        self.pairs = np.unique((words[two] * _PAIR) ^ words[two + 1]) if len(two) else words[:0]
-        self.alone = np.unique(words[one]) if len(one) else words[:0]
-        self.gate = np.zeros(1 << 20, dtype=bool)
-        self.gate[self.pairs >> np.uint64(44)] = True
-        self.names = np.array([str(i) for i in self.ids], dtype=object)
+        self.rank = rank.astype(np.int32)
+        n = np.diff(begin)
+        width = np.minimum(n, WINDOW)
+        windows = np.where(n > 0, n - width + 1, 0)
+        self.item = np.repeat(np.arange(len(items), dtype=np.int32), windows)
+        self.start = (np.arange(len(self.item)) - np.repeat(np.cumsum(windows) - windows, windows)).astype(np.int32)
+        self.size = width[self.item].astype(np.int8)
+        self.at = begin[self.item].astype(np.int64) + self.start
 
     def search(self, words: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, place) of all occurrences: the shard's suffix array, then a binary search of every window."""
+        """(window, place) of all occurrences: the shard's whole suffix array, then a binary search of every window.
+
+        A window with a word that the shard doesn't hold is known not to be there.
+        """
         none = np.zeros(0, dtype=np.int64)
-        n = len(words)
-        if not n or not len(self.low):
+        if not len(words) or not len(self.item):
             return none, none
-        doc_end = np.repeat(begin[1:], np.diff(begin))
-        places = none
-        if len(self.pairs) and n > 1:
-            two = (words[:-1] * _PAIR) ^ words[1:]
-            some = np.flatnonzero(self.gate[two >> np.uint64(44)])
-            places = some[_isin(two[some], self.pairs) & (some + 1 < doc_end[some])]
-        if len(self.alone):
-            places = np.union1d(places, np.flatnonzero(_isin(words, self.alone)))
-        if not len(places):
+        vocabulary, rank = np.unique(words, return_inverse=True)
+        bits = int(len(vocabulary) + 1).bit_length()
+        order, keys = suffix_array(rank.astype(np.int64) + 1, begin, bits)
+        near = np.minimum(np.searchsorted(vocabulary, self.vocabulary), len(vocabulary) - 1)
+        here = np.where(vocabulary[near] == self.vocabulary, near + 1, 0)[self.rank]
+        gaps = np.concatenate([[0], np.cumsum(here == 0)])
+        some = np.flatnonzero(gaps[self.at + self.size] == gaps[self.at])
+        if not len(some):
             return none, none
-        rows = np.zeros((len(places), WINDOW), dtype=">u4")
-        end = doc_end[places]
+        padded = np.append(here, np.zeros(WINDOW, dtype=here.dtype))
+        low = np.zeros((len(some), WINDOW), dtype=np.int64)
+        high = np.full((len(some), WINDOW), (1 << bits) - 1, dtype=np.int64)
         for j in range(WINDOW):
-            at = places + j
-            inside = at < end
-            w = words[at[inside]]
-            r = np.minimum(np.searchsorted(self.vocabulary, w), len(self.vocabulary) - 1)
-            rows[inside, j] = np.where(self.vocabulary[r] == w, r + 1, 0)
-        suffixes = np.ascontiguousarray(rows).view(f"S{4 * WINDOW}").ravel()
-        order = np.argsort(suffixes, kind="stable")  # the suffix array
-        suffixes = suffixes[order]
-        lo, hi = np.searchsorted(suffixes, self.low, side="left"), np.searchsorted(suffixes, self.high, side="right")
+            inside = self.size[some] > j
+            low[inside, j] = high[inside, j] = padded[self.at[some[inside]] + j]
+        lo = np.searchsorted(keys, _joined([low[:, j] for j in range(WINDOW)], bits), side="left")
+        hi = np.searchsorted(keys, _joined([high[:, j] for j in range(WINDOW)], bits), side="right")
         n_found = np.maximum(hi - lo, 0)
-        window = np.repeat(np.arange(len(lo)), n_found)
-        nth = np.arange(len(window)) - np.repeat(np.cumsum(n_found) - n_found, n_found)
-        return window, places[order[lo[window] + nth]]
+        nth = np.arange(n_found.sum()) - np.repeat(np.cumsum(n_found) - n_found, n_found)
+        return np.repeat(some, n_found), order[np.repeat(lo, n_found) + nth]
+
+
+def _numbers(ranks: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """Words' ranks side by side in 63-bit numbers, the first words first."""
+    each = 63 // bits
+    out = []
+    for a in range(0, WINDOW, each):
+        number = np.zeros(len(ranks[0]), dtype=np.int64)
+        for j in range(a, min(a + each, WINDOW)):
+            number = (number << bits) | ranks[j]
+        out.append(number)
+    return out
+
+
+def _joined(ranks: list[np.ndarray], bits: int) -> np.ndarray:
+    """Keys whose order as bytes is that of the ranks, word by word."""
+    numbers = _numbers(ranks, bits)
+    return np.ascontiguousarray(np.stack(numbers, 1).astype(">i8")).view(f"S{8 * len(numbers)}").ravel()
 
 
-def _isin(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
-    return ordered[at] == values
+def suffix_array(rank: np.ndarray, begin: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes of the texts in the order of their first ``WINDOW`` words (a text's end before any word), and their keys."""
+    n = len(rank)
+    left = np.repeat(begin[1:], np.diff(begin)) - np.arange(n)  # words up to the text's end
+    padded = np.append(rank, np.zeros(WINDOW, dtype=rank.dtype))
+    numbers = _numbers([np.where(left > j, padded[j : j + n], 0) for j in range(WINDOW)], bits)
+    order = np.lexsort(numbers[::-1])
+    keys = np.ascontiguousarray(np.stack([x[order] for x in numbers], 1).astype(">i8")).view(f"S{8 * len(numbers)}").ravel()
+    return order, keys
 
 
 MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_word", T.IntegerType()), T.StructField("doc_word", T.IntegerType()), T.StructField("words", T.IntegerType())])
@@ -181,7 +189,7 @@ def shard_matches(test: TestSuffixes, words: np.ndarray, begin: np.ndarray) -> d
     if not len(window):
         return {}
     text = np.searchsorted(begin, place, side="right") - 1
-    item, start, size = test.item[window], test.start[window], test.size[window]
+    item, start, size = (x[window].astype(np.int64) for x in (test.item, test.start, test.size))
     local = place - begin[text]
     order = np.lexsort((start, local - start, item, text))
     text, item, start, size, local = text[order], item[order], start[order], size[order], local[order]
@@ -228,14 +236,20 @@ def find_matches(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str
                 for i, more in found.items():
                     matches[i] = matches[i] + more
                 yield pa.RecordBatch.from_arrays([*b.columns[: at + 1], pa.array(np.diff(begin), pa.int64()), pa.array(matches, pa.list_(_ARROW_MATCH))], names=b.schema.names)
+            release()
 
         return run
 
-    passes = 0
-    for block in _blocks(benchmark, item_id, item_text, block_bytes):
-        out = out.mapInArrow(step(spark.sparkContext.broadcast(TestSuffixes(block))), schema)
-        passes += 1
-    return (out if passes else out.mapInArrow(step(None), schema)).drop(work)
+    blocks = _blocks(benchmark, item_id, item_text, block_bytes)
+    block, shared = next(blocks, None), None
+    while block is not None:
+        shared, after = spark.sparkContext.broadcast(TestSuffixes(block)), next(blocks, None)
+        out = bounded(out).mapInArrow(step(shared), schema)
+        if after is not None:
+            out = cut(out)
+            shared.destroy()
+        block = after
+    return (out if shared else bounded(out).mapInArrow(step(None), schema)).drop(work)
 
 
 def leak_report(docs: DataFrame, key: str, text: str, benchmark: DataFrame, least: int = 2) -> DataFrame:
