@@ -81,6 +81,49 @@ def person(d: D) -> str:
 _NULL_KEYS = "(SELECT event_id, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 7 ELSE user_id END AS k FROM events)"
 _WIN = "ROW_NUMBER() OVER (PARTITION BY {} ORDER BY {})"
 
+def _q5(d: D) -> str:
+    return f"SELECT auction, count(*) AS num, {d.ms('hop')} AS start FROM {d.hop(bid(d) + ' b', 'date_time', 864_000_000, 4_320_000_000)} h GROUP BY auction, hop"
+
+
+def _q5_by_auction(d: D) -> str:
+    """The same with the bids dealt by auction before each becomes five rows: those aren't shuffled again."""
+    slide, size = 864_000_000, 4_320_000_000
+    base = f"SELECT /*+ REPARTITION(auction) */ auction, t - pmod(t, {slide}L) AS base FROM (SELECT auction, {d.ms('date_time')} AS t FROM {bid(d)} b)"
+    return f"SELECT auction, count(*) AS num, hop AS start FROM (SELECT auction, explode(sequence(base, base - {size - slide}L, -{slide}L)) AS hop FROM ({base})) GROUP BY auction, hop"
+
+
+_BANDS = ("price < 1000000", "price >= 1000000 AND price < 5000000", "price >= 5000000")
+
+
+def _q15(d: D) -> str:
+    return f"SELECT {d.text('date_time')} AS day, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS n{i}, count(DISTINCT bidder) FILTER (WHERE {c}) AS b{i}, count(DISTINCT auction) FILTER (WHERE {c}) AS a{i}" for i, c in enumerate(_BANDS)) + f", count(DISTINCT bidder) AS bidders, count(DISTINCT auction) AS auctions FROM {bid(d)} b GROUP BY {d.text('date_time')}"
+
+
+def _two_steps(d: D, keys: str, by_bidder: str, of_bidder: str, by_auction: str, of_auction: str, out: str) -> str:
+    """Distinct counts as counts of groups with flags: two shuffles of partial groups instead of a copy of each row for each count."""
+    names = [k.split(" AS ")[-1] for k in keys.split(", ")]
+    same = " AND ".join(f"x.{n} <=> y.{n}" for n in names)
+    rel = f"(SELECT *, {d.text('date_time')} AS day, {d.ms('date_time')} AS t FROM {bid(d)} b)"
+    one = lambda key, flags, sums: f"(SELECT {keys}, {sums} FROM (SELECT {keys}, {key}, {flags} FROM {rel} GROUP BY {keys}, {key}) GROUP BY {keys})"
+    return f"SELECT {', '.join('x.' + n for n in names)}, {out} FROM {one('bidder', by_bidder, of_bidder)} x JOIN {one('auction', by_auction, of_auction)} y ON {same}"
+
+
+def _q15_two_steps(d: D) -> str:
+    n = range(len(_BANDS))
+    flags = ", ".join(f"count_if({c}) AS c{i}" for i, c in enumerate(_BANDS))
+    sums = lambda key, mark: ", ".join([f"count({key}) AS {key}s", *(f"count(CASE WHEN c{i} > 0 THEN {key} END) AS {mark}{i}" for i in n)])
+    of_bidder = "sum(total) AS total, " + ", ".join(f"sum(c{i}) AS n{i}" for i in n) + ", " + sums("bidder", "b")
+    return _two_steps(d, "day", "count(*) AS total, " + flags, of_bidder, flags, sums("auction", "a"), "total, " + ", ".join(f"n{i}, b{i}, a{i}" for i in n) + ", bidders, auctions")
+
+
+def _q16(d: D) -> str:
+    return f"SELECT channel, {d.text('date_time')} AS day, max({d.ms('date_time')}) AS latest, count(*) AS total, count(*) FILTER (WHERE price < 1000000) AS low, count(DISTINCT bidder) AS bidders, count(DISTINCT bidder) FILTER (WHERE price < 1000000) AS low_bidders, count(DISTINCT auction) AS auctions FROM {bid(d)} b GROUP BY channel, {d.text('date_time')}"
+
+
+def _q16_two_steps(d: D) -> str:
+    return _two_steps(d, "channel, day", "max(t) AS latest, count(*) AS total, count_if(price < 1000000) AS low", "max(latest) AS latest, sum(total) AS total, sum(low) AS low, count(bidder) AS bidders, count(CASE WHEN low > 0 THEN bidder END) AS low_bidders", "1 AS one", "count(auction) AS auctions", "latest, total, low, bidders, low_bidders, auctions")
+
+
 SQL: dict[str, Callable[[D], str]] = {
     # auction queries
     "auction_q0": lambda d: f"SELECT auction, bidder, price, {d.ms('date_time')} AS t FROM {bid(d)} b",
@@ -88,7 +131,7 @@ SQL: dict[str, Callable[[D], str]] = {
     "auction_q2": lambda d: f"SELECT auction, price FROM {bid(d)} b WHERE auction % 123 = 0",
     "auction_q3": lambda d: f"SELECT p.name, p.city, p.state, a.id FROM {auction(d)} a JOIN {person(d)} p ON a.seller = p.id WHERE a.category = '1-URGENT' AND p.state IN ('BUILDING', 'MACHINERY')",
     "auction_q4": lambda d: f"SELECT category, {d.div('sum(final)', 'count(final)')} AS final FROM (SELECT a.id, a.category, max(b.price) AS final FROM {auction(d)} a JOIN {bid(d)} b ON a.id = b.auction AND b.date_time BETWEEN a.date_time AND a.date_time + INTERVAL '90' DAY GROUP BY a.id, a.category) m GROUP BY category",
-    "auction_q5": lambda d: f"SELECT auction, count(*) AS num, {d.ms('hop')} AS start FROM {d.hop(bid(d) + ' b', 'date_time', 864_000_000, 4_320_000_000)} h GROUP BY auction, hop",
+    "auction_q5": lambda d: _q5_by_auction(d) if d.spark else _q5(d),
     "auction_q6": lambda d: f"SELECT seller, {d.div('sum(price)', 'count(price)')} AS price FROM (SELECT a.seller, b.price, {_WIN.format('a.id', 'b.price DESC, b.date_time, b.bidder, b.ln')} AS rn FROM {auction(d)} a JOIN {bid(d)} b ON a.id = b.auction AND b.date_time >= a.date_time) q WHERE rn = 1 GROUP BY seller",
     "auction_q7": lambda d: f"SELECT max(price) AS price, {d.ms(d.tumble('date_time', 864_000_000))} AS start FROM {bid(d)} b GROUP BY {d.tumble('date_time', 864_000_000)}",
     "auction_q8": lambda d: f"SELECT p.id, p.name, count(*) AS n, {d.ms(d.tumble('a.date_time', 864_000_000))} AS start FROM {person(d)} p JOIN {auction(d)} a ON p.id = a.seller GROUP BY p.id, p.name, {d.tumble('a.date_time', 864_000_000)}",
@@ -96,8 +139,8 @@ SQL: dict[str, Callable[[D], str]] = {
     "auction_q12": lambda d: f"SELECT bidder, count(*) AS n FROM {bid(d)} b GROUP BY bidder, {d.tumble('date_time', 864_000_000)}",
     "auction_q13": lambda d: f"SELECT b.auction, b.bidder, b.price, a.category FROM {bid(d)} b JOIN {auction(d)} a ON b.auction = a.id AND b.bidder % 5 = a.seller % 5",
     "auction_q14": lambda d: f"SELECT auction, bidder, price * 908 AS price, CASE WHEN hour(date_time) >= 8 AND hour(date_time) <= 18 THEN 'day' WHEN hour(date_time) <= 6 OR hour(date_time) >= 20 THEN 'night' ELSE 'other' END AS kind, {d.chars('channel', 'R')} AS c FROM {bid(d)} b WHERE price > 1000000 AND price < 5000000",
-    "auction_q15": lambda d: f"SELECT {d.text('date_time')} AS day, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS n{i}, count(DISTINCT bidder) FILTER (WHERE {c}) AS b{i}, count(DISTINCT auction) FILTER (WHERE {c}) AS a{i}" for i, c in enumerate(("price < 1000000", "price >= 1000000 AND price < 5000000", "price >= 5000000"))) + f", count(DISTINCT bidder) AS bidders, count(DISTINCT auction) AS auctions FROM {bid(d)} b GROUP BY {d.text('date_time')}",
-    "auction_q16": lambda d: f"SELECT channel, {d.text('date_time')} AS day, max({d.ms('date_time')}) AS latest, count(*) AS total, count(*) FILTER (WHERE price < 1000000) AS low, count(DISTINCT bidder) AS bidders, count(DISTINCT bidder) FILTER (WHERE price < 1000000) AS low_bidders, count(DISTINCT auction) AS auctions FROM {bid(d)} b GROUP BY channel, {d.text('date_time')}",
+    "auction_q15": lambda d: _q15_two_steps(d) if d.spark else _q15(d),
+    "auction_q16": lambda d: _q16_two_steps(d) if d.spark else _q16(d),
     "auction_q17": lambda d: f"SELECT auction, {d.text('date_time')} AS day, count(*) AS total, count(*) FILTER (WHERE price < 1000000) AS low, min(price) AS least, max(price) AS most, {d.div('sum(price)', 'count(price)')} AS mean, CAST(sum(price) AS BIGINT) AS s FROM {bid(d)} b GROUP BY auction, {d.text('date_time')}",
     "auction_q18": lambda d: f"SELECT auction, bidder, price, {d.ms('date_time')} AS t FROM (SELECT *, {_WIN.format('bidder, auction', 'date_time DESC, ln DESC')} AS rn FROM {bid(d)} b) q WHERE rn <= 1",
     "auction_q19": lambda d: f"SELECT auction, bidder, price, rn FROM (SELECT *, {_WIN.format('auction', 'price DESC, ln')} AS rn FROM {bid(d)} b) q WHERE rn <= 10",
@@ -350,7 +393,7 @@ _HOP = D(False).hop(bid(D(False)) + " b", "date_time", 10 * _DAY, 50 * _DAY)
 
 #: name: (modes, the view; its SQL is that of the batch query of the same number unless it is given)
 _AUCTION_VIEWS: dict[str, tuple[str, str, str | None]] = {
-    **{f"view_q{n}": (mode, SQL[f"auction_q{n}"](D(True)).replace(bid(D(True)), "bid").replace(auction(D(True)), "auction").replace(person(D(True)), "person"), None) for n, mode in {0: "stateless", 1: "stateless", 2: "stateless", 3: "join", 4: "join > keyed > sums > stateless", 6: "join > keyed > sums > stateless", 7: "keyed", 8: "join > sums > stateless", 9: "join > keyed", 12: "sums > stateless", 13: "join", 14: "stateless", 15: "keyed", 16: "keyed", 17: "keyed", 18: "keyed", 19: "keyed", 20: "join"}.items()},
+    **{f"view_q{n}": (mode, {15: _q15, 16: _q16}.get(n, SQL[f"auction_q{n}"])(D(True)).replace(bid(D(True)), "bid").replace(auction(D(True)), "auction").replace(person(D(True)), "person"), None) for n, mode in {0: "stateless", 1: "stateless", 2: "stateless", 3: "join", 4: "join > keyed > sums > stateless", 6: "join > keyed > sums > stateless", 7: "keyed", 8: "join > sums > stateless", 9: "join > keyed", 12: "sums > stateless", 13: "join", 14: "stateless", 15: "keyed", 16: "keyed", 17: "keyed", 18: "keyed", 19: "keyed", 20: "join"}.items()},
     "view_q5": ("stateless > sums > stateless", f"SELECT auction, count(*) AS num, HOP(date_time, {10 * _DAY}, {50 * _DAY}) AS start FROM bid GROUP BY auction, HOP(date_time, {10 * _DAY}, {50 * _DAY})", f"SELECT auction, count(*) AS num, hop AS start FROM {_HOP} h GROUP BY auction, hop"),
     "view_tumble_offset": ("stateless > keyed", f"SELECT TUMBLE(date_time, {10 * _DAY}, {3 * _DAY}) AS start, max(price) AS most FROM bid GROUP BY TUMBLE(date_time, {10 * _DAY}, {3 * _DAY})", f"SELECT make_timestamp(((epoch_us(date_time) - {3 * _DAY}000) // {10 * _DAY}000) * {10 * _DAY}000 + {3 * _DAY}000) AS start, max(price) AS most FROM {bid(D(False))} b GROUP BY ALL"),
     "view_session": ("recompute", f"SELECT seller, SESSION(date_time, {30 * _DAY}) AS start, count(*) AS n FROM auction GROUP BY seller, SESSION(date_time, {30 * _DAY})", f"SELECT seller, min(date_time) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY seller ORDER BY date_time, id) AS s FROM (SELECT *, CASE WHEN date_time > lag(date_time) OVER (PARTITION BY seller ORDER BY date_time, id) + INTERVAL 30 DAY OR lag(date_time) OVER (PARTITION BY seller ORDER BY date_time, id) IS NULL THEN 1 ELSE 0 END AS new FROM {auction(D(False))} a) a) b GROUP BY seller, s"),
