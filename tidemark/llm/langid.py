@@ -3,22 +3,26 @@
 Fitting counts hashed letter bigrams and trigrams (word edges included) for each language, and how
 the language's letters fall into scripts, over at most about ``FIT_DOCS`` labelled documents of each
 language, chosen by a hash of the id; counts are summed in Spark, ``BUCKETS`` + scripts for each
-language at most reach the driver.
+language at most reach the driver. At most ``MOST_LANGS`` languages are learned, those with the most
+documents (ties: that sort first): 128 KB of the model each, so that its broadcast has a bound.
 
 Predicting: a word's script leaves those languages that use it; each gets the word's log-likelihood;
 the best path over the words, with a penalty for each switch, labels spans of one language. The path
 is found in blocks of ``BLOCK`` words at once: a block's best scores from every entering to every
-leaving language form a small matrix, the matrices are chained, and a second pass reads the path.
+leaving language form a small matrix, the matrices are chained, and a second pass reads the path. Texts of up to
+a block need no matrices. No array of the search has over about ``CELLS`` numbers, whatever the texts.
 
 The text's language is that of the most letters; its score is their share.
 
 Defined results: a text that is null or has no letters is ``und`` with score 0 and no spans, as are
 all texts if there was nothing to learn from; ties go to the language that sorts first; repeated rows
-are labelled each.
+are labelled each; a very long text is searched whole, as one path; an empty table gives an empty one;
+columns of the input that clash with the results are replaced.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,13 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import by_bytes, fresh, release
+from tidemark.llm.common import bounded, by_bytes, fresh, release
 
 FIT_DOCS = 2_000
-MAX_LANGS = 256
+MOST_LANGS = 1_024
 BUCKETS = 1 << 15
 SWITCH = 14.0
 BLOCK = 64
+CELLS = 1 << 21
 BATCH_BYTES = 1 << 19
 UNKNOWN = "und"
 ALPHA = 0.5
@@ -103,47 +108,108 @@ class Model:
     uses: np.ndarray  # [scripts, languages]
 
 
+def _came(x: np.ndarray, enter: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of words x [words, rows, languages]: the language before each word's, and the best scores at the end."""
+    steps, rows, k = x.shape
+    came = np.empty((steps, rows, k), dtype=np.uint16)
+    v, own, every = enter, np.arange(k, dtype=np.uint16), np.arange(rows)
+    for t in range(steps):
+        j = v.argmax(1)
+        alt = v[every, j][:, None] - penalty
+        came[t] = np.where(alt > v, j[:, None].astype(np.uint16), own)
+        v = np.maximum(v, alt) + x[t]
+    return came, v
+
+
+def _short(scores: np.ndarray, first: np.ndarray, last: np.ndarray, penalty: float, label: np.ndarray) -> None:
+    """Texts of up to ``BLOCK`` words, those of one length together, ``CELLS`` scores at a time."""
+    k = scores.shape[1]
+    order = np.argsort(last - first, kind="stable")
+    size = (last - first)[order]
+    at = 0
+    while at < len(order):
+        n = int(size[at])
+        end = min(int(np.searchsorted(size, n, side="right")), at + max(1, CELLS // (n * k)))
+        words = first[order[at:end]][None, :] + np.arange(n)[:, None]
+        came, v = _came(scores[words], np.zeros((end - at, k), dtype=np.float32), penalty)
+        state = v.argmax(1)
+        for t in range(n - 1, -1, -1):
+            label[words[t]] = state
+            state = came[t, np.arange(end - at), state]
+        at = end
+
+
+def _long(scores: np.ndarray, first: np.ndarray, last: np.ndarray, penalty: float, label: np.ndarray) -> None:
+    """Texts in blocks of ``BLOCK`` words, so many blocks at a time that no array has over about ``CELLS`` numbers."""
+    k = scores.shape[1]
+    per = -(-(last - first) // BLOCK)
+    of = np.repeat(np.arange(len(per)), per)
+    rank = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
+    start, stop, ends = first[of] + rank * BLOCK, last[of], rank == per[of] - 1
+    nothing = np.zeros((1, k), dtype=scores.dtype)
+    some = max(1, CELLS // (k * max(k, BLOCK)))
+    pieces = [slice(a, min(a + some, len(of))) for a in range(0, len(of), some)]
+
+    def taken(s: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = start[s][None, :] + np.arange(BLOCK)[:, None]
+        real = at < stop[s][None, :]
+        x = scores[np.where(real, at, 0)]
+        x[~real] = 0
+        return at, real, x
+
+    def ranks(s: slice) -> list[np.ndarray]:
+        """The piece's blocks by their place in its runs of one text."""
+        n = s.stop - s.start
+        opens = rank[s] == 0
+        opens[0] = True
+        place = np.arange(n) - np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+        return np.split(np.argsort(place, kind="stable"), np.cumsum(np.bincount(place))[:-1])
+
+    enter = np.zeros((len(of), k), dtype=np.float32)
+    carry = nothing[0]
+    for s in pieces:  # forward: each block's best scores from every entering to every leaving language
+        _, _, x = taken(s)
+        m = np.where(np.eye(k, dtype=bool), np.float32(0), np.float32(-np.inf))[None].repeat(s.stop - s.start, 0)
+        for t in range(BLOCK):
+            m = np.maximum(m, m.max(2, keepdims=True) - penalty) + x[t][:, None, :]
+        own = enter[s]
+        if rank[s.start]:
+            own[0] = carry
+        for b in ranks(s)[1:]:
+            own[b] = (own[b - 1][:, :, None] + m[b - 1]).max(1)
+            own[b] -= own[b].max(1, keepdims=True)
+        carry = (own[-1][:, None] + m[-1]).max(0)
+        carry -= carry.max()
+    entered = 0  # the language in which the block behind a piece is entered
+    for s in reversed(pieces):  # backward: the path to every leaving language, then the one that is taken
+        at, real, x = taken(s)
+        n = s.stop - s.start
+        came, v = _came(x, enter[s], penalty)
+        path = np.empty((BLOCK, n, k), dtype=np.uint16)
+        state = np.broadcast_to(np.arange(k, dtype=np.uint16), (n, k))
+        for t in range(BLOCK - 1, -1, -1):
+            path[t] = state
+            state = np.take_along_axis(came[t], state, 1)
+        leave = v.argmax(1)
+        if not ends[s.stop - 1]:
+            leave[-1] = entered
+        for b in ranks(s)[:0:-1]:
+            leave[b - 1] = state[b, leave[b]]
+        label[at[real]] = path[:, np.arange(n), leave][real]
+        entered = int(state[0, leave[0]])
+
+
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     """The best language of each word; ``first``: where each text's words begin."""
     n, k = scores.shape
+    label = np.zeros(n, dtype=np.int64)
     if not n or k == 1:
-        return np.zeros(n, dtype=np.int64)
-    words = np.diff(first)
-    per = -(-words // BLOCK)
-    blocks = int(per.sum())
-    of = np.repeat(np.arange(len(words)), per)
-    rank = np.arange(blocks) - np.repeat(np.cumsum(per) - per, per)
-    at = (first[:-1][of] + rank * BLOCK)[:, None] + np.arange(BLOCK)
-    real = at < first[1:][of][:, None]
-    x = np.vstack([scores, np.zeros((1, k), scores.dtype)])[np.where(real, at, n)].transpose(1, 0, 2).copy()
-    m = np.where(np.eye(k, dtype=bool), np.float32(0), np.float32(-np.inf))[None].repeat(blocks, 0)
-    for t in range(BLOCK):
-        m = np.maximum(m, m.max(2, keepdims=True) - penalty) + x[t][:, None, :]
-    enter = np.zeros((blocks, k), dtype=np.float32)
-    deep = int(rank.max()) + 1
-    by_rank = [np.flatnonzero(rank == 0)] if deep == 1 else np.split(np.argsort(rank, kind="stable"), np.cumsum(np.bincount(rank))[:-1])
-    for r in range(1, deep):
-        b = by_rank[r]
-        enter[b] = (enter[b - 1][:, :, None] + m[b - 1]).max(1)
-        enter[b] -= enter[b].max(1, keepdims=True)
-    came = np.empty((BLOCK, blocks, k), dtype=np.uint8)
-    v, own = enter, np.arange(k)
-    for t in range(BLOCK):
-        j = v.argmax(1)
-        alt = v[np.arange(blocks), j][:, None] - penalty
-        came[t] = np.where(alt > v, j[:, None], own)
-        v = np.maximum(v, alt) + x[t]
-    path = np.empty((BLOCK, blocks, k), dtype=np.uint8)
-    state = np.broadcast_to(own, (blocks, k)).astype(np.uint8)
-    for t in range(BLOCK - 1, -1, -1):
-        path[t] = state
-        state = np.take_along_axis(came[t], state, 1)
-    leave = v.argmax(1)
-    for r in range(deep - 1, 0, -1):
-        b = by_rank[r]
-        leave[b - 1] = state[b, leave[b]]
-    label = path[:, np.arange(blocks), leave].T
-    return label[real].astype(np.int64)
+        return label
+    a, b = first[:-1], first[1:]
+    for some, way in (((b > a) & (b - a <= BLOCK), _short), (b - a > BLOCK, _long)):
+        if some.any():
+            way(scores, a[some], b[some], np.float32(penalty), label)
+    return label
 
 
 def word_scores(model: Model, w: Words) -> np.ndarray:
@@ -179,34 +245,28 @@ def label_texts(model: Model | None, texts: list[str | None], penalty: float = S
 def fit(docs: DataFrame, key: str, text: str, lang: str, most: int = FIT_DOCS) -> Model | None:
     """A model of the labelled rows of ``docs``: all of a language's up to about ``most``, else a share by hash of the key."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
-    sizes = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    most_common = labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGS)
+    sizes = {r["l"]: r["n"] for r in most_common.collect()}
     if not sizes:
         return None
     langs = sorted(sizes)
     parts = 1 << 30
-    share = F.lit(0)
-    for x in langs:
-        share = F.when(F.col("l") == x, min(parts, int(parts * most / sizes[x]))).otherwise(share)
+    shares = F.from_json(F.lit(json.dumps({x: min(parts, int(parts * most / sizes[x])) for x in langs})), "map<string,long>")
+    share = F.coalesce(F.try_element_at(shares, F.col("l")), F.lit(0))
     sample = labelled.where(F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit(7)), F.lit(parts)) < share).select("t", "l")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = BUCKETS + len(SCRIPTS)
-        totals = np.zeros((len(langs), size), dtype=np.int64)
         number = {x: i for i, x in enumerate(langs)}
         for b in by_bytes(batches, 0, BATCH_BYTES):
             w = split_words(b.column(0).to_pylist())
             of_text = np.array([number[x] for x in b.column(1).to_pylist()], dtype=np.int64)
-            word = of_text[np.repeat(np.arange(b.num_rows), np.diff(w.first))]
+            word = of_text[np.repeat(np.arange(b.num_rows), np.diff(w.first))] * size
             letter = np.repeat(word, w.size)
-            for g in (0, 1):
-                totals += np.bincount(letter * size + w.grams[:, g], minlength=totals.size).reshape(totals.shape)
-            totals += np.bincount(word * size + BUCKETS + w.script, weights=w.size, minlength=totals.size).astype(np.int64).reshape(totals.shape)
-        i, j = np.nonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(totals[i, j], pa.int64())], names=["l", "b", "n"])
+            key, n = np.unique(np.concatenate([letter + w.grams[:, 0], letter + w.grams[:, 1], np.repeat(word + BUCKETS + w.script, w.size)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key // size, pa.int32()), pa.array(key % size, pa.int32()), pa.array(n, pa.int64())], names=["l", "b", "n"])
 
-    counted = sample.mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()
+    counted = bounded(sample).mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()
     totals = np.zeros((len(langs), BUCKETS + len(SCRIPTS)))
     totals[counted["l"], counted["b"]] = counted["n"]
     grams, scripts = totals[:, :BUCKETS], totals[:, BUCKETS:]
@@ -234,7 +294,7 @@ def predict(df: DataFrame, text: str, model: Model | None, penalty: float = SWIT
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, _ARROW_SPANS)], names=[*names, *new])
         release()
 
-    return df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(work)).mapInArrow(run, schema)
+    return bounded(df).select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(work)).mapInArrow(run, schema)
 
 
 def held_out(key: Column) -> Column:
@@ -253,4 +313,4 @@ def keep_known(docs: DataFrame, key: str, text: str, lang: str, least: float = 0
             yield b.filter(pa.array([f[0] != UNKNOWN and f[1] >= least for f in found], pa.bool_()))
         release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
