@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass over a text finds anchors: at-signs, schemes, plus signs, digits and the cue
-words of identifiers. At each anchor a small deterministic parser, a pattern matched at one place,
+words of identifiers, in any mix of capitals. At each anchor a small deterministic parser, a pattern matched at one place,
 expands to both sides, sets the boundaries and validates: an address's domain, an IP's parts, a
 card's Luhn sum, an IBAN's remainder. Nothing is searched twice: a parser skips anchors inside what
 it has already read.
@@ -10,7 +10,9 @@ Offsets are code points, ends exclusive. Kinds, in the order they are listed: em
 phone (the base kinds), then iban, account, login (credentials inside a URL) and secret (keys and tokens).
 
 Defined results: a null text counts as empty and has no spans; spans of different kinds may overlap;
-repeated rows are treated each; masking joins overlapping spans, named after the first.
+repeated rows are treated each; masking joins overlapping spans, named after the first (the longest, of
+those that begin together); a very long text is read whole, in one pass; an empty table gives an empty
+one; a column of the input that clashes with the result is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import by_bytes, fresh
+from tidemark.llm.common import bounded, by_bytes, fresh, release
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "account", "login", "secret")
@@ -50,6 +52,15 @@ _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----E
 _CUES = {"iban": "iban", "account": "account", "acct": "account", "token": "secret", "secret": "secret", "password": "secret", "passwd": "secret", "api_key": "secret", "apikey": "secret", "key": "secret"}
 
 
+#: Characters of an IBAN by country. Fixed values of the public registry.
+_IBAN_SIZE = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+_IBAN_OF = {c: n for n, countries in _IBAN_SIZE.items() for c in countries.split()}
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -73,15 +84,21 @@ def _automaton():
     a.add_word("+", ("plus", 1))
     a.add_word("://", ("scheme", 3))
     for cue, kind in _CUES.items():
-        for word in {cue, cue.upper(), cue.capitalize()}:
-            a.add_word(word, (kind, len(word)))
-    for word in ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "-----BEGIN "):
+        a.add_word(cue, (kind, len(cue)))
+    for word in ("akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "-----begin "):
         a.add_word(word, ("key", len(word)))
     a.make_automaton()
     return a
 
 
 _SHARED: list = []
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def _lower(text: str) -> str:
+    """Lower case with every character in its place: only cues are looked for in it, parsers read the text itself."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_LOWER)
 
 
 def spans(text: str | None) -> list[Span]:
@@ -92,7 +109,7 @@ def spans(text: str | None) -> list[Span]:
         _SHARED.append(_automaton())
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     mail_end = chain_end = quad_end = phone_end = login_end = secret_end = iban_end = account_end = 0
-    for last, (what, size) in _SHARED[0].iter(text):
+    for last, (what, size) in _SHARED[0].iter(_lower(text)):
         if what == "digit":
             if last >= chain_end:
                 m = _CHAIN.match(text, last)
@@ -131,8 +148,12 @@ def spans(text: str | None) -> list[Span]:
             start = last - size + 1
             if start >= iban_end and (m := _IBAN.match(text, start)):
                 number = m[1]
-                while " " in number and not _iban(number):  # words that follow look like groups of it
-                    number = number[: number.rindex(" ")]
+                if size := _IBAN_OF.get(number[:2].upper()):  # words that follow look like groups of it
+                    at = [i for i, c in enumerate(number) if c != " "][:size]
+                    number = number[: at[-1] + 1] if len(at) == size and number[at[-1] + 1 : at[-1] + 2] in ("", " ") else ""
+                else:
+                    while " " in number and not _iban(number):
+                        number = number[: number.rindex(" ")]
                 if _iban(number):
                     iban_end = m.start(1) + len(number)
                     found["iban"].append((m.start(1), iban_end))
@@ -184,8 +205,9 @@ def find_pii(df: DataFrame, text: str, out: str = "pii") -> DataFrame:
         for b in by_bytes(batches, len(names), BATCH_BYTES):
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in spans(t)] for t in b.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(found, _ARROW_SPANS)], names=[*names, out])
+        release()
 
-    return df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(work)).mapInArrow(run, schema)
+    return bounded(df).select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(work)).mapInArrow(run, schema)
 
 
 def mask_pii(df: DataFrame, text: str) -> DataFrame:
@@ -196,8 +218,9 @@ def mask_pii(df: DataFrame, text: str) -> DataFrame:
         for b in by_bytes(batches, at, BATCH_BYTES):
             masked = pa.array([mask(t, spans(t)) for t in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:at], masked, *b.columns[at + 1 :]], names=b.schema.names)
+        release()
 
-    return df.mapInArrow(run, df.schema)
+    return bounded(df).mapInArrow(run, df.schema)
 
 
 def digest(marked: list[Span]) -> str:
@@ -210,7 +233,7 @@ def pii_report(df: DataFrame, key: str, text: str) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
     found = find_pii(df.select(key, text), text).drop(text)
-    return found.select(key, *map(kind, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    return found.select(key, *map(kind, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))
 
 
 def sha(marked: list[Span]) -> str:
