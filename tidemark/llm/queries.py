@@ -67,4 +67,5 @@ ORACLE_SQL = {
     "op3_decontamination": decontaminate.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
     "op9_chat_format": chat.ORACLE,
+    "op10_suffix_dedup": repeats.ORACLE,
 }

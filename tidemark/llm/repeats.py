@@ -12,13 +12,17 @@ Every byte covered by a ``WINDOW``-byte string that also starts elsewhere in the
    what all windows of a piece share, its core, becomes one symbol between its two flanks. Pieces of
    one core form a bucket. The bucket's suffix array is built by grouping (``suffix_array``), and a
    window repeats if a neighbour in it shares the whole window.
-4. Buckets of over ``BUCKET`` pieces aren't sorted in one task: their windows are counted by hash.
+4. A bucket of over ``BUCKET`` pieces isn't sorted in one task. Its pieces are halved: each half has half
+   the offsets, and so a core that is longer by as many bytes, which divides the bucket. Halving goes on
+   until buckets are small, at the latest to one offset, where the core is the whole window and equal
+   cores are equal windows: then there is nothing left to sort.
 
 The join that follows is by document; documents without repeats keep all bytes. Segments are hashed
 with 64 bits beside the anchor's 64; equal hashes are taken for equal bytes.
 
 Defined results: null and empty texts have no bytes; the same row twice is twice the text; texts under
-``WINDOW`` bytes are never touched; an empty table gives an empty one.
+``WINDOW`` bytes are never touched; a very long text is a batch of its own, hashed in chunks; an empty
+table gives an empty one; only the two named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, whole_groups
+from tidemark.llm.common import bounded, by_bytes, cut, release, whole_groups
 from tidemark.llm.decontaminate import text_buffers
 
 WINDOW, GRAM, GRID = 200, 32, 32
@@ -114,8 +118,6 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from tidemark.llm.common import by_bytes
-
     for b in by_bytes(batches, 2, BATCH_BYTES):
         data, off = text_buffers(b.column(2))
         k1, k2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -230,10 +232,10 @@ def neighbours(s: list[int], sa: list[int]) -> list[int]:
     return [max(shared[r], shared[r + 1]) for r in rank]
 
 
-def repeated_windows(pieces: list[tuple[bytes, bytes]]) -> list[list[bool]]:
-    """For pieces of one core (left flank, right flank): which of the windows repeat in another piece.
+def repeated_windows(pieces: list[tuple[bytes, bytes]], grid: int = GRID) -> list[list[bool]]:
+    """For pieces of one core (left flank, right flank): which of the ``grid`` windows repeat in another piece.
 
-    Window w of a piece has the last ``GRID - 1 - w`` bytes of the left flank and the first w of the right.
+    Window w of a piece has the last ``grid - 1 - w`` bytes of the left flank and the first w of the right.
     """
     k = len(pieces)
     core = k + 257
@@ -250,17 +252,47 @@ def repeated_windows(pieces: list[tuple[bytes, bytes]]) -> list[list[bool]]:
     out = []
     for (left, right), at in zip(pieces, starts, strict=True):
         own = []
-        for w in range(GRID):
-            l = GRID - 1 - w
+        for w in range(grid):
+            l = grid - 1 - w
             own.append(l <= len(left) and w <= len(right) and shared[at - l] >= l + 1 + w)
         out.append(own)
     return out
 
 
+def halves(core: int, c0: int, left: bytes, right: bytes, lo: int, hi: int, grid: int) -> Iterator[tuple[int, int, bytes, bytes, int, int]]:
+    """A piece of ``grid`` offsets as up to two of half as many: core's key, its place, flanks, first and last window."""
+    half = grid // 2
+    middle = c0 - half + 1  # the first window of the second half
+    for side, first, last in ((0, lo, min(hi, middle - 1)), (1, max(lo, middle), hi)):
+        if first > last:
+            continue
+        more = right[:half] if side else left[len(left) - half :]
+        digest = hashlib.blake2b(core.to_bytes(8, "little", signed=True) + more, digest_size=8, key=bytes([grid, side])).digest()
+        key = int.from_bytes(digest, "little", signed=True)
+        if side:
+            yield key, c0, left[max(0, len(left) - half + 1) :], right[half : 2 * half - 1], first, last
+        else:
+            yield key, c0 - half, left[max(0, len(left) - 2 * half + 1) : len(left) - half], right[: half - 1], first, last
+
+
+def _half_rows(grid: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = b.to_pydict()
+            cols: list[list] = [[] for _ in range(10)]
+            for anchor, core, k1, k2, c0, left, right, lo, hi, n in zip(*(c[x] for x in ("anchor", "core", "k1", "k2", "c0", "lhs", "rhs", "lo", "hi", "n")), strict=True):
+                for key, place, l, r, first, last in halves(core, c0, left, right, lo, hi, grid):
+                    for col, v in zip(cols, (anchor, key, k1, k2, place, l, r, first, last, n), strict=True):
+                        col.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=["anchor", "core", "k1", "k2", "c0", "lhs", "rhs", "lo", "hi", "n"])
+        release()
+
+    return run
+
+
 def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with their segments to compare; out: the pieces' buckets, flanks, places and window ranges."""
-    from tidemark.llm.common import by_bytes
-
     for b in by_bytes(batches, 2, BATCH_BYTES):
         cols: list[list] = [[] for _ in range(9)]
         data, off = text_buffers(b.column(2))
@@ -305,68 +337,59 @@ def _mark_batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int32()), pa.array(d, pa.int32())], names=["k1", "k2", "start", "stop"])
 
 
-def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole buckets, sorted by (anchor, core): marks of the repeated windows."""
-    for t in whole_groups(batches, 2):
-        cols = t.to_pydict()
-        keys = list(zip(cols["anchor"], cols["core"], strict=True))
-        rows, at = [], 0
-        while at < len(keys):
-            end = at
-            while end < len(keys) and keys[end] == keys[at]:
-                end += 1
-            flanks = list(zip(cols["lhs"][at:end], cols["rhs"][at:end], strict=True))
-            for i, flags in zip(range(at, end), repeated_windows(flanks), strict=True):
-                if cols["n"][i] == 1:
-                    w = cols["c0"][i] - GRID + 1  # the window with the most of the left flank
-                    lo, hi = cols["lo"][i] - w, cols["hi"][i] - w
-                    rows += [(cols["k1"][i], cols["k2"][i], s, e) for s, e in _runs(flags[lo : hi + 1], cols["lo"][i])]
-            at = end
-        yield _mark_batch(rows)
-
-
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of pieces in large buckets, by a hash of its flanks."""
-    for b in batches:
-        c = b.to_pydict()
-        out: list[tuple] = []
-        for i in range(b.num_rows):
-            left, right, w0 = c["lhs"][i], c["rhs"][i], c["c0"][i] - GRID + 1
-            for p in range(c["lo"][i], c["hi"][i] + 1):
-                w = p - w0
-                l = GRID - 1 - w
-                if l <= len(left) and w <= len(right):
-                    h = hashlib.blake2b(left[len(left) - l :] + b"|" + right[:w], digest_size=8, key=bytes([w]))
-                    out.append((c["anchor"][i], c["core"][i], int.from_bytes(h.digest(), "little", signed=True), w, c["k1"][i], c["k2"][i], p, c["n"][i]))
-        a = list(zip(*out, strict=True)) or [()] * 8
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(a, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["anchor", "core", "window", "w", "k1", "k2", "p", "n"])
+def _sort_buckets(grid: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole buckets, sorted by (anchor, core): marks of the repeated windows."""
+        for t in whole_groups(batches, 2):
+            cols = t.to_pydict()
+            keys = list(zip(cols["anchor"], cols["core"], strict=True))
+            rows, at = [], 0
+            while at < len(keys):
+                end = at
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                flanks = list(zip(cols["lhs"][at:end], cols["rhs"][at:end], strict=True))
+                for i, flags in zip(range(at, end), repeated_windows(flanks, grid), strict=True):
+                    if cols["n"][i] == 1:
+                        w = cols["c0"][i] - grid + 1  # the window with the most of the left flank
+                        lo, hi = cols["lo"][i] - w, cols["hi"][i] - w
+                        rows += [(cols["k1"][i], cols["k2"][i], s, e) for s, e in _runs(flags[lo : hi + 1], cols["lo"][i])]
+                at = end
+            yield _mark_batch(rows)
+        release()
+
+    return run
 
 
 def repeat_marks(x: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """k1, k2, start, stop: byte ranges of ``x`` (k1, k2, text) that repeat."""
     found = cut(x.select("k1", "k2", "text").mapInArrow(_segment_rows, _SEGMENT))
-    # sums are written before they are joined, else the join shares their exchange and a hot anchor can't be split
+    # sums are written before they are joined, else the join shares their exchange and a hot anchor can't be split;
+    # the joins stay merge joins, as only those are split
     by_anchor = cut(found.groupBy("anchor").agg(F.count("*").alias("seen"), (F.min("content") == F.max("content")).alias("alike")).where("seen > 1").select("anchor", "alike"))
     again = cut(found.join(by_anchor, "anchor"))
     end = F.col("first") + F.col("windows") + WINDOW - 1
     alike = again.where("alike").select("k1", "k2", F.col("first").alias("start"), end.cast("int").alias("stop"))
     one = lambda c: F.first(c).alias(c)
     classes = cut(again.where("not alike").groupBy("anchor", "content").agg(F.count("*").alias("n"), *map(one, ("k1", "k2", "first", "windows", "at"))))
-    copies = again.where("not alike").join(classes.where("n > 1").select("anchor", "content"), ["anchor", "content"]).select("k1", "k2", F.col("first").alias("start"), end.cast("int").alias("stop"))
+    copies = again.where("not alike").join(classes.where("n > 1").select("anchor", "content").hint("merge"), ["anchor", "content"]).select("k1", "k2", F.col("first").alias("start"), end.cast("int").alias("stop"))
     asked = classes.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "first", "windows", "at", "n")).alias("marks"))
     pieces = cut(x.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "marks").mapInArrow(_piece_rows, _PIECE))
-    sizes = cut(pieces.groupBy("anchor", "core").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1 and least = 1"))
-    shared = pieces.join(sizes, ["anchor", "core"])
-    small = shared.where(F.col("size") <= bucket).drop("size", "least").repartition("anchor", "core").sortWithinPartitions("anchor", "core").mapInArrow(_sort_buckets, _MARK)
-    windows = shared.where(F.col("size") > bucket).drop("size", "least").mapInArrow(_window_rows, "anchor long, core long, window long, w int, k1 long, k2 int, p int, n long")
-    repeated = windows.groupBy("anchor", "core", "window", "w").agg(F.count("*").alias("size")).where("size > 1").drop("size")
-    large = windows.where("n = 1").join(repeated, ["anchor", "core", "window", "w"]).select("k1", "k2", F.col("p").alias("start"), (F.col("p") + WINDOW).alias("stop"))
-    return alike.unionByName(copies).unionByName(small).unionByName(large)
+    marks, grid = alike.unionByName(copies), GRID
+    while True:
+        sizes = cut(pieces.groupBy("anchor", "core").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1 and least = 1"))
+        shared = pieces.join(sizes.hint("merge"), ["anchor", "core"])
+        if grid == 1:  # the core is the window
+            return marks.unionByName(shared.where("n = 1").select("k1", "k2", F.col("lo").alias("start"), (F.col("hi") + WINDOW).cast("int").alias("stop")))
+        small = shared.where(F.col("size") <= bucket).drop("size", "least").repartition("anchor", "core").sortWithinPartitions("anchor", "core")
+        marks = marks.unionByName(small.mapInArrow(_sort_buckets(grid), _MARK))
+        if sizes.where(F.col("size") > bucket).isEmpty():
+            return marks
+        pieces = cut(shared.where(F.col("size") > bucket).drop("size", "least").mapInArrow(_half_rows(grid), _PIECE))
+        grid //= 2
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from tidemark.llm.common import by_bytes
-
     for b in by_bytes(batches, 1, BATCH_BYTES):
         data, off = text_buffers(b.column(1))
         n_bytes, n_removed, n_spans, digests = [], [], [], []
@@ -390,8 +413,24 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, key: str, text: str, bucket: int = BUCKET) -> DataFrame:
     """For each row: key, n_bytes, n_removed, n_spans, and the SHA-256 of the bytes that are left."""
-    x = _keyed(docs, key, text)
-    marks = repeat_marks(x, bucket).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("m"))
+    x = bounded(_keyed(docs, key, text))
+    # a set: rows that repeat an id and a text have the same marks, which each of them gets
+    marks = repeat_marks(x, bucket).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("m"))
     joined = x.join(marks, ["k1", "k2"], "left").select("key", "text", F.col("m.start").alias("starts"), F.col("m.stop").alias("stops"))
     kind = dict(joined.dtypes)["key"]
     return joined.mapInArrow(_cut_rows, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("key", key)
+
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT k, s, md5_number(b[s : s + {WINDOW - 1}]) AS h FROM (SELECT k, b, unnest(generate_series(1, octet_length(b) - {WINDOW - 1})) AS s FROM d WHERE octet_length(b) >= {WINDOW})),
+m AS (SELECT k, s FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)),
+n AS (SELECT k, s, CASE WHEN s - lag(s) OVER (PARTITION BY k ORDER BY s) <= {WINDOW} THEN 0 ELSE 1 END AS new FROM m),
+g AS (SELECT k, s, sum(new) OVER (PARTITION BY k ORDER BY s) AS g FROM n),
+p AS (SELECT k, min(s) AS a, max(s) + {WINDOW - 1} AS z FROM g GROUP BY k, g),
+q AS (SELECT k, a, z, coalesce(lag(z) OVER (PARTITION BY k ORDER BY a), 0) AS y FROM p),
+e AS (SELECT k, count(*) AS n_spans, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, max(z) AS last,
+    string_agg(substr(hex(b), 2 * y + 1, 2 * (a - y - 1)), '' ORDER BY a) AS kept FROM q JOIN d USING (k) GROUP BY k)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN n_spans IS NULL THEN sha256(b) ELSE sha256(unhex(kept || substr(hex(b), 2 * last + 1))) END AS kept_sha256
+FROM d LEFT JOIN e USING (k)"""
