@@ -5,8 +5,8 @@ fallback. ``backend`` rebuilds it as a tokenizer: the normaliser (a precompiled
 extra spaces, the metaspace marker), a Unigram model with the scores, or for BPE models the merges
 that the scores imply, with byte fallback.
 
-A text is cut at places that no piece can span (see ``token_counts``), its distinct words are encoded
-once by the backend in multithreaded batches of ``BATCH_WORDS``, and their ids are put together by
+A text of a BPE model is cut at places that no piece can span (see ``token_counts``; others stay whole),
+its distinct words are encoded once by the backend in multithreaded batches of ``BATCH_WORDS``, and their ids are put together by
 vectorised gathers. Every distinct word is also encoded by the sentencepiece library, and its ids are
 decoded again by the backend's decoder: ``parity`` is whether all words of a text have the library's
 ids, ``exact`` whether all come back as they were. A text's ids are always the backend's.
@@ -158,7 +158,7 @@ class Codec:
             with open(path, "rb") as f:  # the library's own file, on every machine
                 raw = f.read()
         spec = parse_model(raw)
-        self.tokenizer, self.cutter, self.size_of_vocabulary = backend(spec), Counter(path), len(spec.pieces)
+        self.tokenizer, self.cutter, self.size_of_vocabulary = backend(spec), Counter(path, spec.kind == BPE), len(spec.pieces)
         if spec.trim_spaces or not spec.dummy_prefix or not spec.escape_spaces or spec.charsmap:
             self.cutter.words = False  # such normalisers look across spaces: texts stay whole
         self.control = {i for i, p in enumerate(spec.pieces) if p[2] == CONTROL}

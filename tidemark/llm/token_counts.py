@@ -1,8 +1,9 @@
 """Token counts of whole texts, by Arrow functions that return lengths only.
 
-A SentencePiece BPE or unigram model joins two neighbouring characters only inside a piece. Where
-no piece of the vocabulary holds a pair of neighbours, no piece can span it, and the text may be
-cut there without changing the count. A space after a non-space is such a place in usual models;
+A SentencePiece BPE model joins two neighbouring characters only inside a piece. Where no piece of the
+vocabulary holds a pair of neighbours, no piece can span it, and the text may be cut there without
+changing the count. (Unigram models are given whole texts: the library sums scores in single precision
+along the text, so that what is far away can decide a near tie.) A space after a non-space is such a place in usual models;
 this is read off the vocabulary, not assumed. Texts are cut there into words, each distinct word of
 a batch is encoded once (a bounded cache keeps counts across batches), and words longer than
 ``LONG`` characters are cut again at other safe pairs. Batches hold about ``BATCH_BYTES`` of text,
@@ -36,16 +37,22 @@ _RUNS = re.compile(f"{MARK}+[^{MARK}]*")
 class Counter:
     """Counts of one SentencePiece model, safe places included. One for each Python worker and model."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, bpe: bool | None = None):
         import sentencepiece
 
+        if bpe is None:
+            from tidemark.llm.sentencepieces import BPE, parse_model
+
+            with open(path, "rb") as f:  # the library's own file, on every machine
+                bpe = parse_model(f.read()).kind == BPE
+
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size()) if not self.model.is_control(i) and not self.model.is_byte(i)]
         self.pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         one, none = (len(x) for x in self.model.encode(["a a", ""], num_threads=1))
         plain = self.model.encode([" a", "a"], num_threads=1)  # a dummy prefix, and spaces are kept
-        self.words = not any(p[1] == MARK and p[0] != MARK for p in self.pairs) and none == 0 and len(plain[0]) > len(plain[1]) and one == 2 * len(plain[1])
-        self.stop = "\n" if not any("\n" in p for p in self.pairs) else None
+        self.words = bpe and not any(p[1] == MARK and p[0] != MARK for p in self.pairs) and none == 0 and len(plain[0]) > len(plain[1]) and one == 2 * len(plain[1])
+        self.stop = "\n" if bpe and not any("\n" in p for p in self.pairs) else None
         self.stop_cost = len(self.model.encode("\n")) if self.stop else 0
         self.known: dict[str, int] = {}
         self.chars = 0  # in known
