@@ -261,6 +261,37 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_filter.judge_urls(df, "url", [], default="block").collect()} == {"block"}
 
 
+def test_pattern_rules(spark):
+    """Lines of a filter list: what they match, what they are filed under, and a long list against all its expressions."""
+    rule = url_filter.pattern_rule
+    hits = lambda line, address: bool(re.search(rule(line).regex, address))
+    assert rule("! note") is None and rule("") is None
+    assert hits("||ads.example^", "ads.example/x") and hits("||ads.example^", "a.ads.example:80/") and not hits("||ads.example^", "bads.example/")
+    assert hits("|x.org/*/end|", "x.org/A/END") and not hits("|x.org/*/end|", "ax.org/a/end") and hits("/ad^", "h/AD/1") and not hits("/ad^", "h/add")
+    assert rule("@@/ok/").verdict == "allow" and rule("/a/b*c/d^").tokens == ("a", "d") and rule("banner").tokens == ()
+    with pytest.raises(ValueError, match="options"):
+        rule("||x^$script")
+    with pytest.raises(ValueError, match="literal token"):
+        url_filter.judge_urls(spark.createDataFrame([("a://b",)], "url string"), "url", [rule("banner")])
+    r = random.Random(12)
+    words = ["ads", "x1", "Farm", "b_c", "org", "news"]
+    lines = {"".join(r.choice([*words, "/", "/", ".", "*", "^", "-"]) for _ in range(r.randrange(2, 7))) for _ in range(600)}
+    rules = [x for t in lines if (x := rule(r.choice(["", "||", "|", "@@", "@@||"]) + "/" + t)) and x.tokens]
+    urls = ["http://" + r.choice(["", "www."]) + "".join(r.choice([*words, "/", ".", "-", "_"]) for _ in range(9)) + "/" for _ in range(120)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    out = {x.page_id: (x.pattern, x.verdict) for x in url_filter.judge_urls(df, "url", rules).collect()}
+    long = {x.page_id: (x.pattern, x.verdict) for x in url_filter.judge_urls(df, "url", rules, inline=0).collect()}
+    assert out == long and len(rules) > 200
+    for i, u in enumerate(urls):
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u)
+        address = m[1].lower() + m[2]
+        fits = [(x.size, x.name, x.verdict) for x in rules if re.search(x.regex, address)]
+        for x in rules:
+            if re.search(x.regex, address):
+                assert set(x.tokens) <= set(re.split(r"[^a-z0-9]+", address.lower()))
+        assert out[i] == ((max(fits)[1], max(fits)[2]) if fits else (None, "allow"))
+
+
 def plain_path(scores, penalty):
     if not len(scores):
         return 0.0
