@@ -638,3 +638,34 @@ def test_pipeline_stages(spark, sf):
     assert {r.doc_id: r.ids for r in now} == {r.doc_id: sp.encode(r.text) for r in before} and all(r.exact for r in now)
     before, now = rows["language_id"]
     assert {r.doc_id for r in before} - {r.doc_id for r in now} == {r.doc_id for r in before if not any(c.isalpha() for c in r.text or "")}
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf):
+    """Nulls in every column, empty and long texts, repeated rows, a column with a clashing name, an empty table."""
+    import corpus_pipeline
+
+    plain = spark.read.parquet(f"{sf}/documents.parquet")
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("size(split(text, ' ')) > 12").first().text
+    prose_of = {r.doc_id: r.text for r in plain.where("lang = 'en' AND length(text) > 200").limit(5).collect()}
+    text = next(iter(prose_of.values()))
+    odd = [(None, text), (None, text), (-1, None), (-2, ""), (-3, "123 !"), (-4, text + " again"), (-4, text + " again"), (-5, item), (-6, (text + " ") * 200), (-7, text + " a@b.example")]
+    rows = spark.createDataFrame([(i, t, None, None, None) for i, t in odd], plain.schema)
+    docs = plain.unionByName(rows).withColumn("ids", F.lit("mine"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows.withColumn("ids", F.lit("mine")) if name != "language_id" else docs, sf)
+        assert out.columns == docs.columns and {r.ids for r in out.collect()} <= {"mine"}
+        kept = Counter(r.doc_id for r in out.collect() if r.doc_id is None or r.doc_id < 0)
+        if name == "language_id":
+            assert kept == Counter([None, None, -4, -4, -5, -6, -7])
+        elif name == "ngram_jaccard_join":
+            assert kept[None] == 2 and kept[-1] == kept[-2] == kept[-3] == 1 and kept[-4] <= 1
+        elif name == "benchmark_decontamination":
+            assert kept == Counter(i for i, _ in odd if i != -5)
+        else:
+            assert kept == Counter(i for i, _ in odd) and [r.text[-7:] for r in out.where("doc_id = -7").collect()] == ["<EMAIL>"]
+            assert out.where("doc_id = -1 AND text IS NULL AND n_chars IS NULL").count() == 1
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    name, stage = corpus_pipeline.STAGES[-1]
+    out = {r.doc_id: r for r in stage(spark, rows, sf).collect()}
+    assert out[-1].ids == [] and out[-2].ids == [] and all(r.exact for r in out.values())
+    assert stage(spark, docs.limit(0), sf).count() == 0
