@@ -92,6 +92,9 @@ def _q5_by_auction(d: D) -> str:
     return f"SELECT auction, count(*) AS num, hop AS start FROM (SELECT auction, explode(sequence(base, base - {size - slide}L, -{slide}L)) AS hop FROM ({base})) GROUP BY auction, hop"
 
 
+#: a bid's page
+_URL = "concat('https://www.example.com/', lower(channel), '/', CAST(bidder AS VARCHAR(20)), '/item', CAST(ln AS VARCHAR(20)), CASE WHEN auction % 4 = 0 THEN '' ELSE concat('?query=1&channel_id=', CAST(auction % 100 AS VARCHAR(20))) END)"
+
 _BANDS = ("price < 1000000", "price >= 1000000 AND price < 5000000", "price >= 5000000")
 
 
@@ -146,6 +149,8 @@ SQL: dict[str, Callable[[D], str]] = {
     "auction_q19": lambda d: f"SELECT auction, bidder, price, rn FROM (SELECT *, {_WIN.format('auction', 'price DESC, ln')} AS rn FROM {bid(d)} b) q WHERE rn <= 10",
     "auction_q20": lambda d: f"SELECT b.auction, b.bidder, b.price, a.seller, a.reserve FROM {bid(d)} b JOIN {auction(d)} a ON b.auction = a.id WHERE a.category = '5-LOW'",
     "auction_q21": lambda d: f"SELECT page_id, CASE WHEN lower(substr(url, 1, 5)) = 'https' THEN 'secure' ELSE {d.regex('url', '(?:[?&]|^)(utm_source=[a-z]+)', 1)} END AS channel FROM pages WHERE lower(substr(url, 1, 5)) = 'https' OR {d.regex('url', '(?:[?&]|^)(utm_source=[a-z]+)', 1)} IS NOT NULL",
+    "auction_q21_bids": lambda d: f"SELECT auction, bidder, price, channel, CASE WHEN lower(channel) = 'a' THEN '0' WHEN lower(channel) = 'n' THEN '1' ELSE {d.regex('url', '(?:&|^|[?])channel_id=([^&]*)', 1)} END AS channel_id FROM (SELECT *, {_URL} AS url FROM {bid(d)} b) u WHERE {d.regex('url', '(?:&|^|[?])channel_id=([^&]*)', 1)} IS NOT NULL OR lower(channel) IN ('a', 'n')",
+    "auction_q22_bids": lambda d: f"SELECT auction, bidder, price, channel, {d.part('url', '/', 3)} AS dir1, {d.part('url', '/', 4)} AS dir2, {d.part('url', '/', 5)} AS dir3 FROM (SELECT *, {_URL} AS url FROM {bid(d)} b) u",
     "auction_q22": lambda d: f"SELECT page_id, {d.part('url', '/', 3)} AS dir1, {d.part('url', '/', 4)} AS dir2, {d.part('url', '/', 5)} AS dir3 FROM pages",
     # projection, filter, predicates
     "select_projection": lambda d: f"SELECT l_orderkey, l_quantity * 2 AS q2, concat(l_returnflag, '-', l_linestatus) AS tag, {d.cents('l_discount')} AS disc FROM lineitem",
