@@ -336,12 +336,12 @@ _VIEWS: dict[str, tuple[str, str]] = {
     "view_distinct": ("sums > stateless", "SELECT DISTINCT st, pr FROM o"),
     "view_sums": ("sums > stateless", "SELECT st, CAST(sum(ck) AS BIGINT) AS s, count(nullif(ck % 3, 0)) AS c, avg(k) AS a, count(*) FILTER (WHERE ck % 2 = 0) AS f FROM o GROUP BY st HAVING count(*) > 1"),
     "view_stats": ("keyed", "SELECT st, count(*) AS n, count(DISTINCT ck) AS d, CAST(sum(ck) AS BIGINT) AS s, min(k) AS lo, max(k) AS hi, count(*) FILTER (WHERE ck % 2 = 0) AS f FROM o GROUP BY st"),
-    "view_having": ("keyed", "SELECT ck, max(k) AS m FROM o GROUP BY ck HAVING count(*) > 10"),
-    "view_topn": ("keyed", "SELECT ck, k, rn FROM (SELECT ck, k, ROW_NUMBER() OVER (PARTITION BY ck ORDER BY cents DESC, k) AS rn FROM o) q WHERE rn <= 2"),
+    "view_having": ("sums > stateless", "SELECT ck, max(k) AS m FROM o GROUP BY ck HAVING count(*) > 10"),
+    "view_topn": ("ranked > keyed", "SELECT ck, k, rn FROM (SELECT ck, k, ROW_NUMBER() OVER (PARTITION BY ck ORDER BY cents DESC, k) AS rn FROM o) q WHERE rn <= 2"),
     "view_global_topn": ("top > recompute", "SELECT k, cents FROM o ORDER BY cents DESC, k LIMIT 10 OFFSET 2"),
     "view_topn_over_aggregate": ("sums > stateless > top > recompute", "SELECT ck, count(*) AS n FROM o GROUP BY ck ORDER BY n DESC, ck LIMIT 10"),
     "view_left_join": ("recompute", "SELECT c.id, o.k FROM c LEFT JOIN o ON c.id = o.ck AND o.st = 'P'"),
-    "view_agg_over_join": ("join > keyed", "SELECT c.seg, count(*) AS n, max(o.k) AS m FROM o JOIN c ON o.ck = c.id GROUP BY c.seg"),
+    "view_agg_over_join": ("join > sums > stateless", "SELECT c.seg, count(*) AS n, max(o.k) AS m FROM o JOIN c ON o.ck = c.id GROUP BY c.seg"),
     "view_agg_over_aggregate": ("sums > stateless > sums > stateless", "SELECT n, count(*) AS customers FROM (SELECT ck, count(*) AS n FROM o GROUP BY ck) x GROUP BY n"),
     "view_agg_over_union": ("stateless > sums > stateless", "SELECT x, count(*) AS n FROM (SELECT ck AS x FROM o UNION ALL SELECT id FROM c) u GROUP BY x"),
     "view_agg_over_topn": ("top > recompute > recompute", "SELECT CAST(sum(cents) AS BIGINT) AS s FROM (SELECT cents FROM o ORDER BY cents DESC, k LIMIT 10) x"),
@@ -398,9 +398,9 @@ _HOP = D(False).hop(bid(D(False)) + " b", "date_time", 10 * _DAY, 50 * _DAY)
 
 #: name: (modes, the view; its SQL is that of the batch query of the same number unless it is given)
 _AUCTION_VIEWS: dict[str, tuple[str, str, str | None]] = {
-    **{f"view_q{n}": (mode, {15: _q15, 16: _q16}.get(n, SQL[f"auction_q{n}"])(D(True)).replace(bid(D(True)), "bid").replace(auction(D(True)), "auction").replace(person(D(True)), "person"), None) for n, mode in {0: "stateless", 1: "stateless", 2: "stateless", 3: "join", 4: "join > keyed > sums > stateless", 6: "join > keyed > sums > stateless", 7: "keyed", 8: "join > sums > stateless", 9: "join > keyed", 12: "sums > stateless", 13: "join", 14: "stateless", 15: "keyed", 16: "keyed", 17: "keyed", 18: "keyed", 19: "keyed", 20: "join"}.items()},
+    **{f"view_q{n}": (mode, {15: _q15, 16: _q16}.get(n, SQL[f"auction_q{n}"])(D(True)).replace(bid(D(True)), "bid").replace(auction(D(True)), "auction").replace(person(D(True)), "person"), None) for n, mode in {0: "stateless", 1: "stateless", 2: "stateless", 3: "join", 4: "join > sums > stateless > sums > stateless", 6: "join > ranked > keyed > sums > stateless", 7: "sums > stateless", 8: "join > sums > stateless", 9: "join > ranked > keyed", 12: "sums > stateless", 13: "join", 14: "stateless", 15: "keyed", 16: "keyed", 17: "sums > stateless", 18: "ranked > keyed", 19: "ranked > keyed", 20: "join"}.items()},
     "view_q5": ("stateless > sums > stateless", f"SELECT auction, count(*) AS num, HOP(date_time, {10 * _DAY}, {50 * _DAY}) AS start FROM bid GROUP BY auction, HOP(date_time, {10 * _DAY}, {50 * _DAY})", f"SELECT auction, count(*) AS num, hop AS start FROM {_HOP} h GROUP BY auction, hop"),
-    "view_tumble_offset": ("stateless > keyed", f"SELECT TUMBLE(date_time, {10 * _DAY}, {3 * _DAY}) AS start, max(price) AS most FROM bid GROUP BY TUMBLE(date_time, {10 * _DAY}, {3 * _DAY})", f"SELECT make_timestamp(((epoch_us(date_time) - {3 * _DAY}000) // {10 * _DAY}000) * {10 * _DAY}000 + {3 * _DAY}000) AS start, max(price) AS most FROM {bid(D(False))} b GROUP BY ALL"),
+    "view_tumble_offset": ("stateless > sums > stateless", f"SELECT TUMBLE(date_time, {10 * _DAY}, {3 * _DAY}) AS start, max(price) AS most FROM bid GROUP BY TUMBLE(date_time, {10 * _DAY}, {3 * _DAY})", f"SELECT make_timestamp(((epoch_us(date_time) - {3 * _DAY}000) // {10 * _DAY}000) * {10 * _DAY}000 + {3 * _DAY}000) AS start, max(price) AS most FROM {bid(D(False))} b GROUP BY ALL"),
     "view_session": ("recompute", f"SELECT seller, SESSION(date_time, {30 * _DAY}) AS start, count(*) AS n FROM auction GROUP BY seller, SESSION(date_time, {30 * _DAY})", f"SELECT seller, min(date_time) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY seller ORDER BY date_time, id) AS s FROM (SELECT *, CASE WHEN date_time > lag(date_time) OVER (PARTITION BY seller ORDER BY date_time, id) + INTERVAL 30 DAY OR lag(date_time) OVER (PARTITION BY seller ORDER BY date_time, id) IS NULL THEN 1 ELSE 0 END AS new FROM {auction(D(False))} a) a) b GROUP BY seller, s"),
 }
 

@@ -47,6 +47,7 @@ class Engine:
         self.views: dict[str, ViewDef] = {}
         self.sinks: dict[str, SinkDef] = {}
         self.plans: dict[str, Plan] = {}
+        self._removals: set[str] = set()  # what rows go from in this tick
         functions.register(spark)
 
     # definitions
@@ -203,20 +204,24 @@ class Engine:
                     for j, u in ((0, 1), (1, -1)):
                         terms.append(signed({a: zset.parts(deltas[a])[i], b: zset.parts(deltas[b])[j]}, w * u))
             return zset.consolidate(zset.add(*terms))
-        if plan.mode == "sums":
+        gone = plan.sources[0] in self._removals
+        if plan.mode == "sums" and not (gone and plan.extremes):
             return self._sums_delta(view, deltas[plan.sources[0]], version)
+        if plan.mode == "ranked" and not gone:  # the rows that were first, and those that come
+            n = plan.sources[0]
+            touched = self._keyed(plan, deltas[n])
+            was = zset.consolidate(self._semi_keyed(plan, self.store.snapshot(f"view.{view}", version - 1, raw=True), touched))
+            old = zset.expand(was)
+            return zset.diff_rows(self._eval(sql, {n: old.unionByName(zset.expand(deltas[n]))}), old)
         if plan.mode == "top":
             n = plan.sources[0]
             plus, minus = zset.parts(deltas[n])
             old = zset.expand(self._state(view, version - 1))
             if zset.semi(minus, old.distinct()).isEmpty():
                 return zset.diff_rows(self._eval(sql, {n: old.unionByName(plus)}), old)
-        if plan.mode == "keyed":
+        if plan.mode in ("keyed", "sums", "ranked"):
             n = plan.sources[0]
-            names = [f"__k{i}" for i in range(len(plan.keys))]
-            keyed = lambda z: z.selectExpr("*", *[f"({k}) AS {x}" for k, x in zip(plan.keys, names, strict=True)])
-            touched = keyed(deltas[n]).select(*names).distinct()
-            was = zset.semi(keyed(raw(n)), touched).drop(*names)  # touched keys before anything is summed
+            was = self._semi_keyed(plan, raw(n), self._keyed(plan, deltas[n]))  # touched keys before anything is summed
             before, after = {n: zset.consolidate(was)}, {n: zset.consolidate(zset.add(was, deltas[n]))}
         else:
             before = {n: self._state(n, version - 1) for n in plan.sources}
@@ -224,6 +229,14 @@ class Engine:
         old, new = (self._eval(sql, {n: zset.expand(z) for n, z in s.items()}) for s in (before, after))
         return zset.diff_rows(new, old)
 
+    def _keyed(self, plan: Plan, z: DataFrame) -> DataFrame:
+        """The keys of rows."""
+        return z.selectExpr(*[f"({k}) AS __k{i}" for i, k in enumerate(plan.keys)]).distinct()
+
+    def _semi_keyed(self, plan: Plan, z: DataFrame, keys: DataFrame) -> DataFrame:
+        """Rows that have one of the keys."""
+        return zset.semi(z.selectExpr("*", *[f"({k}) AS {x}" for k, x in zip(plan.keys, keys.columns, strict=True)]), keys).drop(*keys.columns)
+
     def _sums_delta(self, view: str, delta: DataFrame, version: int) -> DataFrame:
         """Counts and sums of the delta's rows, added to those of the touched groups: their rows go and come."""
         plan = self.plans[view]
@@ -232,7 +245,8 @@ class Engine:
         change = self._eval(plan.weighted, {plan.sources[0]: delta}).toDF(*names)
         was = zset.semi(self.store.snapshot(f"view.{view}", version - 1, raw=True), change.select(*keys))
         old = zset.consolidate(was).drop(WEIGHT)
-        summed = [F.sum(n).cast(f.dataType).alias(n) for n, f in zip(names, self.store.schema(f"view.{view}").fields, strict=True) if n not in keys]
+        by = {"min": F.min, "max": F.max}
+        summed = [by.get(plan.extremes.get(n), F.sum)(n).cast(f.dataType).alias(n) for n, f in zip(names, self.store.schema(f"view.{view}").fields, strict=True) if n not in keys]
         new = old.unionByName(change).groupBy(*keys).agg(*summed).where(F.col("__n") != 0)
         return zset.diff_rows(new, old)
 
@@ -246,6 +260,7 @@ class Engine:
             return self.store.version
         version = self.store.version + 1
         deltas: dict[str, DataFrame] = {}
+        self._removals = set()
         try:
             for name, rows in batch.items():
                 s = self.sources[name]
@@ -261,11 +276,13 @@ class Engine:
                     zset.check_non_negative(zset.consolidate(zset.add(held, gone)), name)
                 if count:
                     deltas[name] = written
+                    self._removals |= {name} if negative else set()
             for view, plan in self.plans.items() if deltas else ():  # in order of definition: a view reads earlier views only
                 if any(n in deltas for n in plan.sources):
-                    written, count, _ = self.store.write(f"view.{view}", self._delta(view, deltas, version), version)
+                    written, count, negative = self.store.write(f"view.{view}", self._delta(view, deltas, version), version)
                     if count:
                         deltas[view] = written
+                        self._removals |= {view} if negative else set()
         except BaseException:
             self.store.rollback()
             raise
