@@ -364,3 +364,124 @@ def test_sessions_merge(spark, tmp_path):
     assert rows(e.view("v")) == [(1, t(0), 1), (1, t(100), 1)]
     add(50)  # joins the two
     assert rows(e.view("v")) == [(1, t(0), 3)]
+
+
+def test_count_needs_no_rows(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"), retain=2)
+    e.run_program("CREATE SOURCE bids (auction BIGINT, price BIGINT); CREATE MATERIALIZED VIEW v AS SELECT auction FROM bids WHERE price > 1")
+    e.apply({"bids": pairs(spark, (1, 1), (1, 2), (1, 2))})
+    e.apply({"bids": zset.add(zset.weighted(pairs(spark, (2, 5))), zset.weighted(pairs(spark, (1, 2)), -1))})
+    counted = e.query("SELECT count(*) AS n FROM v")
+    assert counted.collect()[0].n == 2 == len(rows(e.view("v"))) and "Scan parquet" not in counted._jdf.queryExecution().toString()
+    assert e.query("SELECT count(*) FROM bids WHERE __mv_version = 1").first()[0] == 3
+
+
+def test_replay_from_the_journal(spark, tmp_path):
+    e = sums(spark, tmp_path / "a")
+    for batch in (pairs(spark, (1, 10), (2, 5)), zset.weighted(pairs(spark, (2, 5)), -1), pairs(spark, (3, 1))):
+        e.apply({"bids": batch})
+    new = Engine(spark, str(tmp_path / "b"))
+    new.run_program("CREATE SOURCE bids (auction BIGINT, price BIGINT); CREATE MATERIALIZED VIEW most AS SELECT max(price) AS p, count(*) AS n FROM bids GROUP BY auction % 1")
+    assert new.replay(e) == 3 and rows(new.view("most")) == [(10, 2)] and rows(new.view("most", 1)) == [(10, 2)]
+    assert new.replay(e) == 3  # again: nothing
+
+
+def test_sinks_run_with_retries(spark, tmp_path):
+    from tidemark.sinks import runner
+
+    e = Engine(spark, str(tmp_path / "s"))
+    e.run_program("CREATE SOURCE bids (auction BIGINT, price BIGINT); CREATE MATERIALIZED VIEW v AS SELECT auction, price FROM bids")
+    e.execute(f"CREATE SINK f FROM v WITH (connector = 'file', path = '{tmp_path}/out') FORMAT PLAIN ENCODE JSON")
+    e.execute("CREATE SINK g FROM v WITH (connector = 'http', url = 'http://x')")
+    e.apply({"bids": pairs(spark, (1, 2))})
+    e.apply({"bids": pairs(spark, (3, 4))})
+    calls = []
+
+    def flaky(sink):
+        def write(changes, v):
+            calls.append((sink.name, v))
+            if sink.name == "g" and len([c for c in calls if c[0] == "g"]) < 3:
+                raise OSError("not now")
+
+        return runner.writer(sink) if sink.name == "f" else write
+
+    assert runner.run(e, wait=0.01, write=flaky) == {"f": [1, 2], "g": [1, 2]}
+    assert calls == [("g", 1), ("g", 1), ("g", 1), ("g", 2)]
+    assert spark.read.text(f"{tmp_path}/out").count() == 2 and runner.run(e, write=flaky) == {"f": [], "g": []}
+    for bad in ("connector = 'pigeon'", "connector = 'file'", "connector = 'file', path = 'x', colour = 'red'", "connector = 'jdbc', url = 'x', table = 't'"):
+        e.execute(f"CREATE SINK bad FROM v WITH ({bad})")
+        with pytest.raises(DefinitionError):
+            runner.run(e)
+
+
+def test_jdbc_sink(spark, tmp_path):
+    """On the database that comes with Spark."""
+    from tidemark.sinks import runner
+
+    url, driver_class = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    e = Engine(spark, str(tmp_path / "s"))
+    e.run_program("CREATE TABLE t (id BIGINT PRIMARY KEY, note VARCHAR); CREATE MATERIALIZED VIEW v AS SELECT id, note FROM t; CREATE SOURCE log (n BIGINT); CREATE MATERIALIZED VIEW l AS SELECT n FROM log")
+    put = lambda *r: e.apply({"t": spark.createDataFrame(list(r), "id long, note string")})
+    options = {"driver": driver_class}
+    spark.createDataFrame([], "id long, note string").write.jdbc(url, "notes", "overwrite", options)
+    spark.createDataFrame([], "n long").write.jdbc(url, "lines", "overwrite", options)
+    e.execute(f"CREATE SINK s FROM v WITH (connector = 'jdbc', url = '{url}', table = 'notes', key = 'id', driver = '{driver_class}')")
+    e.execute(f"CREATE SINK a FROM l WITH (connector = 'jdbc', url = '{url}', table = 'lines', mode = 'append_only', driver = '{driver_class}')")
+    read = lambda t: sorted(map(tuple, spark.read.jdbc(url, t, properties=options).collect()))
+    put((1, "a"), (2, "b"))
+    put((1, "c"))
+    e.apply({"log": spark.createDataFrame([(7,), (7,)], "n long")})
+    runner.run(e, attempts=1)
+    assert read("notes") == [(1, "c"), (2, "b")] and read("lines") == [(7,), (7,)]
+    e.store.manifest["cursors"]["s"] = 1  # delivered, but the cursor was lost
+    runner.run(e, attempts=1)
+    assert read("notes") == [(1, "c"), (2, "b")]
+    e.apply({"t": zset.weighted(spark.createDataFrame([(2, "b")], "id long, note string"), -1), "log": zset.weighted(spark.createDataFrame([(7,)], "n long"), -1)})
+    with pytest.raises(Exception, match="append-only"):
+        runner.run(e, attempts=1)
+    assert read("notes") == [(1, "c")]
+
+
+def test_http_ingest_to_views(spark, tmp_path):
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    from tidemark import config
+    from tidemark.sources.http_ingest import Ingest
+
+    def post(port, body, path="/ingest", **headers):
+        return json.loads(urlopen(Request(f"http://127.0.0.1:{port}{path}", body if isinstance(body, bytes) else json.dumps(body).encode(), headers, method="POST")).read())
+
+    with Ingest(str(tmp_path / "landing"), "bids") as server:
+        assert post(server.port, {"auction": 1, "price": 2}) == {"accepted": 1}
+        for _ in range(2):  # a repeated request
+            assert post(server.port, [{"auction": 1, "price": 3}, {"source": "bids", "data": {"auction": 2, "price": 9}}], **{"Idempotency-Key": "k"}) == {"accepted": 2}
+        post(server.port, {"n": 5}, "/ingest?source=other")
+        for body, path in ((b"{", "/ingest"), (b"[1]", "/ingest"), (b"{}", "/else")):
+            with pytest.raises(HTTPError):
+                post(server.port, body, path)
+        assert json.loads(urlopen(f"http://127.0.0.1:{server.port}/health").read()) == {"status": "ok"}
+    text = f'root = "{tmp_path}/views"\ncheckpoint = "{tmp_path}/check"\nprogram = "CREATE SOURCE bids (auction BIGINT, price BIGINT); CREATE SOURCE other (n BIGINT); CREATE MATERIALIZED VIEW v AS SELECT auction, count(*) AS n, max(price) AS p FROM bids GROUP BY auction"\n[[streams]]\nname = "in"\npath = "{tmp_path}/landing"\ndefault_source = "bids"\n'
+    c = config.parse(text, "toml")
+    assert [x[:2] for x in config.dry_run(spark, c)] == [("v", "sums > stateless")]
+    e, queries = config.start(spark, c, available_now=True)
+    for q in queries:
+        q.awaitTermination()
+    assert rows(e.view("v")) == [(1, 2, 3), (2, 1, 9)] and rows(zset.expand(e.store.snapshot("source.other"))) == [(5,)]
+    for wrong in ('root = "x"\nprogramme = ""', "retain = 3", 'root = 1\nprogram = ""', 'root = "x"\nprogram = ""\n[[streams]]\nname = "a"', 'root = "x"\n[[streams]]\nname = "a"\npath = "p"\nspeed = 1'):
+        with pytest.raises(DefinitionError):
+            config.parse(wrong, "toml")
+    with pytest.raises(DefinitionError):
+        config.dry_run(spark, config.parse('{"root": "x", "program": "CREATE SOURCE a (b PIGEON)"}', "json"))
+
+
+def test_tables_fed_by_change_data(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    e.run_program("CREATE SOURCE feed (op VARCHAR); CREATE TABLE t (id BIGINT PRIMARY KEY, note VARCHAR NOT NULL) FROM feed TABLE 'public.t'; CREATE MATERIALIZED VIEW v AS SELECT id, note FROM t")
+    change = lambda op, lsn, after=None, before=None, table="t": ("feed", json.dumps({"payload": {"op": op, "after": after, "before": before, "source": {"schema": "public", "table": table, "lsn": lsn}}}))
+    tick = driver.Ticker(e, "s")
+    batch = lambda *r: spark.createDataFrame(list(r), "source string, payload string")
+    tick(batch(change("u", 3, {"id": 1, "note": "b"}), change("c", 2, {"id": 1, "note": "a"}), change("r", 1, {"id": 2, "note": "x"}), change("c", 4, {"id": 9, "note": "z"}, table="other")), 0)
+    assert rows(e.view("v")) == [(1, "b"), (2, "x")]
+    tick(batch(change("d", 5, None, {"id": 2}), change("u", 6, {"id": 1, "note": "c"})), 1)
+    assert rows(e.view("v")) == [(1, "c")]

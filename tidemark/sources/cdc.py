@@ -31,6 +31,27 @@ def envelopes(rows: DataFrame, payload: str, source: SourceDef, as_rows: bool =
     return zset.add(zset.weighted(decode(plus, "p", source)), zset.weighted(decode(minus, "p", source), -1))
 
 
+def table_delta(state: DataFrame, rows: DataFrame, payload: str, source: SourceDef, table: str | None = None) -> DataFrame:
+    """The delta of a keyed table from Debezium envelopes: the last image of each key, by the position in the log.
+
+    Images before a change aren't needed. ``table``: ``schema.name``; envelopes of other tables are passed over.
+    """
+    body = F.coalesce(F.get_json_object(payload, "$.payload"), F.col(payload))
+    at = lambda path: F.get_json_object("body", path)
+    e = rows.where(F.col(payload).isNotNull()).select(body.alias("body"), F.monotonically_increasing_id().alias("nth")).where(at("$.op").isNotNull())
+    if table:
+        schema, _, name = table.rpartition(".")
+        e = e.where((at("$.source.table") == name) & (F.lit(not schema) | F.coalesce(at("$.source.schema") == schema, F.lit(False))))
+    e = e.withColumn("op", F.when(at("$.op") == "t", F.raise_error(F.lit("truncate has no delta"))).otherwise(at("$.op")))
+    order = F.struct(F.coalesce(at("$.source.lsn"), at("$.ts_ms"), F.lit("0")).cast("long").alias("lsn"), F.col("nth"))
+    loose = SourceDef(source.name, [type(c)(c.name, c.type, True) for c in source.columns], source.properties, source.primary_key)
+    images = []
+    for gone, image in ((False, at("$.after")), (True, at("$.before"))):
+        some = e.where((F.col("op") == "d") == F.lit(gone)).select(image.alias("p"), order.alias("__o")).where("p IS NOT NULL")
+        images.append(decode(some, "p", loose if gone else source, keep=["__o"]).withColumn("__d", F.lit("d" if gone else "u")))
+    return zset.upsert_delta(state, images[0].unionByName(images[1]), source.primary_key, "__o", "__d")
+
+
 def apply_changes(state: DataFrame, changes: DataFrame, key: str, lsn: str = "lsn", op: str = "op", unchanged: str | None = "__unchanged") -> DataFrame:
     """The delta of a transaction's row changes on a keyed table (a Z-set, one row a key).
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources import cdc
 from tidemark.sources.jsonl import decode
 from tidemark.streaming.engine import Engine
 
@@ -58,7 +59,12 @@ class Ticker:
         try:
             present = {r["source"] for r in batch.select("source").distinct().limit(len(self.engine.sources) + 1).collect()}
             tables = {}
-            for s in sorted(present & set(self.engine.sources)):
+            for s, definition in self.engine.sources.items():  # tables that a source's change data feeds
+                if (feed := definition.properties.get("cdc_source")) in present:
+                    rows = batch.where(F.col("source") == feed)
+                    tables[s] = cdc.table_delta(self.engine._state(s), rows, "payload", definition, definition.properties.get("cdc_table"))
+            fed = {d.properties.get("cdc_source") for d in self.engine.sources.values()}
+            for s in sorted((present - fed) & set(self.engine.sources)):
                 definition = self.engine.sources[s]
                 rows = decode(batch.where(F.col("source") == s), "payload", definition)
                 at = definition.event_time

@@ -89,6 +89,13 @@ class Store:
     def empty(self, name: str) -> DataFrame:
         return self._load(name, [])
 
+    def count(self, name: str, version: int | None = None) -> int | None:
+        """How many rows a table has, from the manifest alone; None if a layer doesn't say."""
+        if version is not None:
+            self.check_kept(name, version)
+        weights = [x.get("weight") for x in self.manifest["tables"][name]["layers"] if version is None or x["version"] <= version]
+        return None if None in weights else sum(weights)
+
     def oldest(self, name: str) -> int:
         """The oldest version that can be read, and after which all deltas are still there."""
         return max([0, *(x["version"] for x in self.manifest["tables"][name]["layers"] if x["base"])])
@@ -112,7 +119,7 @@ class Store:
         self.pending.append((name, layer))
         delta.select(*[f"`{n}`" for n in names], WEIGHT).write.parquet(f"{self.root}/{path}")
         written = self._load(name, [path])
-        rows, negative = written.agg(F.count("*"), F.coalesce(F.min(WEIGHT) < 0, F.lit(False))).first()
+        rows, negative, layer["weight"] = written.agg(F.count("*"), F.coalesce(F.min(WEIGHT) < 0, F.lit(False)), F.sum(WEIGHT)).first()
         if not rows:
             self.pending.pop()
             self._fs.delete(self._path(f"{self.root}/{path}"), True)
@@ -140,7 +147,9 @@ class Store:
             if len(before) > COMPACT:
                 path = f"{name}/base-{oldest}-{uuid.uuid4().hex[:8]}"
                 self.snapshot(name, oldest).write.parquet(f"{self.root}/{path}")
-                t["layers"] = [{"version": oldest, "path": path, "base": True}, *[x for x in t["layers"] if x["version"] > oldest]]
+                weights = [x.get("weight") for x in before]
+                base = {"version": oldest, "path": path, "base": True} | ({"weight": sum(weights)} if None not in weights else {})
+                t["layers"] = [base, *[x for x in t["layers"] if x["version"] > oldest]]
                 least = min(self.oldest(n) for n in self.manifest["tables"])
                 self.manifest["times"] = {v: x for v, x in self.manifest["times"].items() if int(v) >= least}
                 self.publish()
