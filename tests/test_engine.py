@@ -485,3 +485,17 @@ def test_tables_fed_by_change_data(spark, tmp_path):
     assert rows(e.view("v")) == [(1, "b"), (2, "x")]
     tick(batch(change("d", 5, None, {"id": 2}), change("u", 6, {"id": 1, "note": "c"})), 1)
     assert rows(e.view("v")) == [(1, "c")]
+
+
+def test_asof_joins_are_windows(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    e.run_program("CREATE SOURCE a (k BIGINT, t BIGINT); CREATE SOURCE b (k BIGINT, t BIGINT, x VARCHAR)")
+    e.apply({"a": spark.createDataFrame([(1, 5), (1, 1), (2, 7)], "k long, t long"), "b": spark.createDataFrame([(1, 2, "p"), (1, 5, "q"), (2, 8, "r")], "k long, t long, x string")})
+    for sql, want in (
+        ("SELECT a.k, a.t, b.x FROM a ASOF JOIN b MATCH_CONDITION (a.t >= b.t) ON a.k = b.k", [(1, 1, None), (1, 5, "q"), (2, 7, None)]),
+        ("SELECT l.k, l.t, r.x FROM a l INNER ASOF JOIN b r MATCH_CONDITION (r.t < l.t) ON r.k = l.k WHERE r.x <> 'z'", [(1, 5, "p")]),
+        ("SELECT a.t, b.x FROM a LEFT ASOF JOIN b MATCH_CONDITION (a.t <= b.t) ON a.k = b.k", [(1, "p"), (5, "q"), (7, "r")]),
+    ):
+        found = e.query(sql)
+        assert rows(found) == want and "Window" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(e.query("SELECT x FROM a ASOF JOIN b MATCH_CONDITION (a.t >= b.t) ON a.k = b.k AND a.k + 1 > b.k")) == [("q",), (None,), (None,)]

@@ -405,6 +405,25 @@ _AUCTION_VIEWS: dict[str, tuple[str, str, str | None]] = {
 }
 
 
+_EVENT = SourceDef("event", [Column("event_id", T.LongType()), Column("user_id", T.LongType()), Column("ts", T.TimestampNTZType()), Column("kind", T.StringType())])
+
+
+def view_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An as-of join in the dialect over two views, kept over three batches."""
+    e = Engine(spark, _root(spark))
+    e.add_source(_EVENT)
+    e.run_program("""
+      CREATE MATERIALIZED VIEW clicks AS SELECT event_id, user_id, ts FROM event WHERE kind = 'click';
+      CREATE MATERIALIZED VIEW others AS SELECT user_id, ts, max(event_id) AS other FROM event WHERE kind <> 'click' GROUP BY user_id, ts;
+      CREATE MATERIALIZED VIEW v AS SELECT c.event_id, c.user_id, o.other FROM clicks c ASOF JOIN others o MATCH_CONDITION (c.ts >= o.ts) ON c.user_id = o.user_id;
+    """)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", F.col("event_type").alias("kind"))
+    e.apply({"event": rows.where("event_id % 3 = 0")})
+    e.apply({"event": rows.where("event_id % 3 = 1")})
+    e.apply({"event": zset.add(zset.weighted(rows.where("event_id % 3 = 2")), zset.weighted(rows.where("event_id % 12 = 0"), -1))})
+    return e.query("SELECT event_id, user_id, other FROM v")
+
+
 def auction_view(name: str) -> Callable[[SparkSession, str], DataFrame]:
     mode, sql, _ = _AUCTION_VIEWS[name]
 
@@ -456,12 +475,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f.__name__: f for f in (asof_latest, asof_next, zset_consolidate, zset_diff, zset_join, zset_group)},
     **{n: incremental(n) for n in _VIEWS},
     **{n: auction_view(n) for n in _AUCTION_VIEWS},
+    "view_asof": view_asof,
     "flagship": flagship,
 }
 
 ORACLE_SQL: dict[str, str] = {
     **{n: make(D(False)) for n, make in SQL.items()},
     "asof_latest": f"SELECT c.event_id, c.user_id, o.other FROM {_CLICKS} ASOF LEFT JOIN {_OTHERS} ON c.user_id = o.user_id AND c.ts >= o.ts",
+    "view_asof": "SELECT c.event_id, c.user_id, o.other FROM (SELECT * FROM events WHERE event_type = 'click' AND event_id % 12 <> 0) c ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS other FROM events WHERE event_type <> 'click' AND event_id % 12 <> 0 GROUP BY user_id, ts) o ON c.user_id = o.user_id AND c.ts >= o.ts",
     "asof_next": f"SELECT c.event_id, c.user_id, o.other FROM {_CLICKS} ASOF JOIN {_OTHERS} ON c.user_id = o.user_id AND c.ts < o.ts",
     "zset_consolidate": "SELECT o_custkey, o_orderstatus, CAST(sum(CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END) AS BIGINT) AS w FROM orders GROUP BY ALL HAVING w <> 0",
     "zset_diff": "SELECT k, CAST(sum(w) AS BIGINT) AS w FROM (SELECT c_nationkey AS k, 1 AS w FROM customer UNION ALL SELECT s_nationkey, -1 FROM supplier) x GROUP BY k HAVING sum(w) <> 0",

@@ -21,9 +21,10 @@ from pyspark.sql import types as T
 
 from tidemark import functions
 from tidemark.operators import zset
+from tidemark.operators.asof import asof_join
 from tidemark.plans import ddl
 from tidemark.plans.classify import Plan, classify, relations
-from tidemark.plans.rewrite import to_spark
+from tidemark.plans.rewrite import asof, asof_joins, to_spark
 from tidemark.plans.steps import Step, steps
 from tidemark.streaming.state import Store
 from tidemark.types import WEIGHT, DefinitionError, SinkDef, SourceDef, ViewDef
@@ -88,7 +89,7 @@ class Engine:
             if soft:
                 return
             raise DefinitionError(f"{v.name} exists")
-        sql = to_spark(v.sql, self.integer_division)
+        sql = to_spark(v.sql, self.integer_division, keep_asof=True)
         shape = self._shape(sql)
         if len(set(shape.columns)) < len(shape.columns):
             raise DefinitionError("a view's columns need distinct names")
@@ -161,7 +162,28 @@ class Engine:
     def _eval(self, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
         for n, df in tables.items():
             df.createOrReplaceTempView(n)
-        return self.spark.sql(sql)
+        return self.spark.sql(self._with_asof(sql))
+
+    def _with_asof(self, sql: str) -> str:
+        """As-of joins by windows: each becomes a relation of two structs, named like the sides, so that ``a.x`` is a field.
+
+        What can't be read that way (columns without their relation, keys that aren't columns) becomes a lateral subquery.
+        """
+        if not re.search(r"\bASOF\b", sql, re.IGNORECASE):
+            return sql
+        whole, lateral = sql, asof(sql)
+        for i, ((a, b), j) in reversed(list(enumerate(asof_joins(sql)))):
+            left, right = self.spark.table(j.left), self.spark.table(j.right)
+            on = [f"__key{n}" for n in range(len(j.keys))]
+            pack = lambda df, keys, time, name: df.select(*[F.col(k).alias(o) for k, o in zip(keys, on, strict=True)], F.col(time).alias("__time"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+            joined = asof_join(pack(left, [k for k, _ in j.keys], j.left_time, j.left_name), pack(right, [k for _, k in j.keys], j.right_time, "r"), on, "__time", "__time", j.op, "inner" if j.inner else "left")
+            joined.select(j.left_name, F.col("right_r").alias(j.right_name)).createOrReplaceTempView(f"__asof{i}")
+            whole = f"{whole[:a]}__asof{i}{whole[b:]}"
+        try:
+            self.spark.sql(whole)
+        except (AnalysisException, ParseException):
+            return lateral
+        return whole
 
     def _table(self, name: str) -> str:
         return f"source.{name}" if name in self.sources else f"view.{name}"
@@ -356,7 +378,7 @@ class Engine:
         for n in self.sources:
             if re.search(rf"\b{re.escape(n)}\b", sql, re.IGNORECASE):
                 zset.expand(self._state(n, version)).createOrReplaceTempView(n)
-        return self.spark.sql(to_spark(sql, self.integer_division), args=args)
+        return self.spark.sql(self._with_asof(to_spark(sql, self.integer_division, keep_asof=True)), args=args)
 
     def describe(self, name: str | None = None) -> list[tuple]:
         """(view, mode, version) of all views, or (column, type) of one."""
