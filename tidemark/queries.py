@@ -340,7 +340,10 @@ _VIEWS: dict[str, tuple[str, str]] = {
     "view_topn": ("ranked > keyed", "SELECT ck, k, rn FROM (SELECT ck, k, ROW_NUMBER() OVER (PARTITION BY ck ORDER BY cents DESC, k) AS rn FROM o) q WHERE rn <= 2"),
     "view_global_topn": ("top > recompute", "SELECT k, cents FROM o ORDER BY cents DESC, k LIMIT 10 OFFSET 2"),
     "view_topn_over_aggregate": ("sums > stateless > top > recompute", "SELECT ck, count(*) AS n FROM o GROUP BY ck ORDER BY n DESC, ck LIMIT 10"),
-    "view_left_join": ("recompute", "SELECT c.id, o.k FROM c LEFT JOIN o ON c.id = o.ck AND o.st = 'P'"),
+    "view_left_join": ("touched", "SELECT c.id, o.k FROM c LEFT JOIN o ON c.id = o.ck AND o.st = 'P'"),
+    "view_full_join": ("touched", "SELECT c.id, c.seg, o.k, o.st FROM c FULL JOIN o ON c.id = o.ck AND o.st <> 'O'"),
+    "view_anti_join": ("touched", "SELECT id, seg FROM c LEFT ANTI JOIN o ON c.id = o.ck AND o.st = 'F'"),
+    "view_agg_over_left_join": ("touched > sums > stateless", "SELECT c.seg, count(o.k) AS n, count(*) AS m FROM c LEFT JOIN o ON c.id = o.ck GROUP BY c.seg"),
     "view_agg_over_join": ("join > sums > stateless", "SELECT c.seg, count(*) AS n, max(o.k) AS m FROM o JOIN c ON o.ck = c.id GROUP BY c.seg"),
     "view_agg_over_aggregate": ("sums > stateless > sums > stateless", "SELECT n, count(*) AS customers FROM (SELECT ck, count(*) AS n FROM o GROUP BY ck) x GROUP BY n"),
     "view_agg_over_union": ("stateless > sums > stateless", "SELECT x, count(*) AS n FROM (SELECT ck AS x FROM o UNION ALL SELECT id FROM c) u GROUP BY x"),
@@ -488,7 +491,7 @@ ORACLE_SQL: dict[str, str] = {
     "zset_diff": "SELECT k, CAST(sum(w) AS BIGINT) AS w FROM (SELECT c_nationkey AS k, 1 AS w FROM customer UNION ALL SELECT s_nationkey, -1 FROM supplier) x GROUP BY k HAVING sum(w) <> 0",
     "zset_join": "SELECT c_custkey AS k, o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 <> 0 AND c_custkey % 10 <> 0",
     "zset_group": "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS s FROM orders WHERE o_orderkey % 10 <> 0 GROUP BY o_orderstatus",
-    **{n: _final(sql) for n, (_, sql) in _VIEWS.items()},
+    **{n: _final(sql.replace("LEFT ANTI", "ANTI")) for n, (_, sql) in _VIEWS.items()},
     **{n: _kept(sql or SQL[n.replace("view_", "auction_")](D(False))) for n, (_, _, sql) in _AUCTION_VIEWS.items()},
     "flagship": "SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY l_returnflag, l_linestatus",
 }

@@ -241,7 +241,12 @@ class Engine:
             old = zset.expand(self._state(view, version - 1))
             if zset.semi(minus, old.distinct()).isEmpty():
                 return zset.diff_rows(self._eval(sql, {n: old.unionByName(plus)}), old)
-        if plan.mode in ("keyed", "sums", "ranked"):
+        if plan.mode == "touched":
+            touched = zset.add(*[deltas[n].selectExpr(*[f"{c} AS __k{i}" for i, c in enumerate(plan.by[n])]) for n in changed]).distinct()
+            was = {n: self._semi_keyed(Plan("keyed", [n], plan.by[n]), raw(n), touched) for n in plan.sources}
+            before = {n: zset.consolidate(z) for n, z in was.items()}
+            after = {n: zset.consolidate(zset.add(z, deltas[n])) if n in deltas else before[n] for n, z in was.items()}
+        elif plan.mode in ("keyed", "sums", "ranked"):
             n = plan.sources[0]
             was = self._semi_keyed(plan, raw(n), self._keyed(plan, deltas[n]))  # touched keys before anything is summed
             before, after = {n: zset.consolidate(was)}, {n: zset.consolidate(zset.add(was, deltas[n]))}
