@@ -11,9 +11,10 @@ Files go through Hadoop's file system, so any store that Spark can write will do
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +24,16 @@ from tidemark.types import WEIGHT, DefinitionError
 COMPACT = 16
 
 
+def _observed(seen: Observation) -> tuple | None:
+    """What was counted while writing; None if it isn't told within two seconds."""
+    for _ in range(200):
+        if seen._jo.future().isCompleted():
+            got = seen.get
+            return got["rows"], got["least"], got["weight"]
+        time.sleep(0.01)
+    return None
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, retain: int = 1):
         self.spark, self.root, self.retain = spark, root.rstrip("/"), max(1, retain)
@@ -117,9 +128,12 @@ class Store:
         names = [f.name for f in self.schema(name).fields]
         layer = {"version": version, "path": path, "base": False}
         self.pending.append((name, layer))
-        delta.select(*[f"`{n}`" for n in names], WEIGHT).write.parquet(f"{self.root}/{path}")
+        seen = Observation()
+        sums = [F.count(F.lit(1)).alias("rows"), F.min(WEIGHT).alias("least"), F.sum(WEIGHT).alias("weight")]
+        delta.select(*[f"`{n}`" for n in names], WEIGHT).observe(seen, *sums).write.parquet(f"{self.root}/{path}")
         written = self._load(name, [path])
-        rows, negative, layer["weight"] = written.agg(F.count("*"), F.coalesce(F.min(WEIGHT) < 0, F.lit(False)), F.sum(WEIGHT)).first()
+        rows, least, layer["weight"] = _observed(seen) or written.agg(*sums).first()
+        negative = rows > 0 and least < 0
         if not rows:
             self.pending.pop()
             self._fs.delete(self._path(f"{self.root}/{path}"), True)
