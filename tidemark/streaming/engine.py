@@ -296,7 +296,8 @@ class Engine:
                 if s.primary_key is not None and WEIGHT not in rows.columns:
                     order = F.monotonically_increasing_id()
                     z = zset.upsert_delta(self._state(name), z.drop(WEIGHT).withColumn("__order", order), s.primary_key, "__order")
-                written, count, negative = self.store.write(f"source.{name}", zset.consolidate(z), version)
+                plain = s.primary_key is None and WEIGHT not in rows.columns  # insertions alone needn't be summed, nor shuffled
+                written, count, negative = self.store.write(f"source.{name}", z if plain else zset.consolidate(z), version)
                 if negative:
                     gone = written.where(F.col(WEIGHT) < 0)
                     held = zset.semi(self.store.snapshot(f"source.{name}", raw=True), gone.drop(WEIGHT))
