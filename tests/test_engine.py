@@ -499,3 +499,67 @@ def test_asof_joins_are_windows(spark, tmp_path):
         found = e.query(sql)
         assert rows(found) == want and "Window" in found._jdf.queryExecution().optimizedPlan().toString()
     assert rows(e.query("SELECT x FROM a ASOF JOIN b MATCH_CONDITION (a.t >= b.t) ON a.k = b.k AND a.k + 1 > b.k")) == [("q",), (None,), (None,)]
+
+
+def test_snapshot_then_changes(spark, tmp_path):
+    from tidemark.sinks import runner
+    from tidemark.sources import snapshot
+
+    url, options = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.createDataFrame([(i, f"n{i}", i) for i in range(50)], "id long, note string, more long").write.jdbc(url, "t", "overwrite", options)
+    e = Engine(spark, str(tmp_path / "s"))
+    e.run_program("CREATE SOURCE feed (op VARCHAR); CREATE TABLE t (id BIGINT PRIMARY KEY, note VARCHAR) FROM feed TABLE 'public.t'")
+    e.execute(f"CREATE REPLICATION PIPELINE copy FROM t WITH (connector = 'table', path = '{tmp_path}/copy', key = 'id')")
+    found = snapshot.read_table(spark, url, "t", e.sources["t"], 4, options)
+    assert found.rdd.getNumPartitions() == 4 and found.columns == ["id", "note"]
+    assert snapshot.load(e, "t", found, 100) == 1 and snapshot.load(e, "t", found, 100) == 1
+    change = lambda op, lsn, after: ("feed", json.dumps({"op": op, "after": after, "before": None, "source": {"schema": "public", "table": "t", "lsn": lsn}}))
+    driver.Ticker(e, "s")(spark.createDataFrame([change("u", 90, {"id": 1, "note": "old"}), change("u", 101, {"id": 2, "note": "new"}), change("c", 102, {"id": 77, "note": "x"})], "source string, payload string"), 0)
+    runner.run(e)
+    copy = {r.id: r.note for r in spark.read.parquet(f"{tmp_path}/copy/version=2").collect()}
+    assert copy == {i: f"n{i}" for i in range(50)} | {2: "new", 77: "x"}
+
+
+def test_pruned_ingest_and_catalog_tables(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    e.run_program("CREATE SOURCE a (x BIGINT, y BIGINT, z VARCHAR, w VARCHAR); CREATE MATERIALIZED VIEW v AS SELECT x, count(*) AS n FROM a WHERE z = 'q' GROUP BY x")
+    assert e.needed("a") == {"x", "z"}
+    rows_in = [("a", json.dumps({"x": i % 2, "y": i, "z": "q", "w": "long"})) for i in range(5)]
+    driver.Ticker(e, "s", prune=True)(spark.createDataFrame(rows_in, "source string, payload string"), 0)
+    assert rows(e.view("v")) == [(0, 3), (1, 2)] and {(r.y, r.w) for r in zset.expand(e.store.snapshot("source.a")).collect()} == {(None, None)}
+    spark.createDataFrame([(0, "even"), (1, "odd")], "x long, name string").write.mode("overwrite").saveAsTable("kinds")
+    try:
+        assert rows(e.query("SELECT name, n FROM v JOIN kinds USING (x)")) == [("even", 3), ("odd", 2)]
+    finally:
+        spark.sql("DROP TABLE kinds")
+
+
+def test_server_sent_events(spark, tmp_path):
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    from tidemark.sinks.sse import Server
+
+    e = Engine(spark, str(tmp_path / "s"))
+    e.run_program("CREATE SOURCE bids (auction BIGINT, price BIGINT); CREATE MATERIALIZED VIEW v AS SELECT auction, price FROM bids")
+    e.apply({"bids": pairs(spark, (1, 2))})
+    e.apply({"bids": pairs(spark, (3, 4))})
+
+    def read(stream, n):
+        out = []
+        while len(out) < n:
+            line = stream.readline().decode().strip()
+            if line.startswith("data: "):
+                out.append(json.loads(line[6:]))
+        return [(x["__mv_version"], x["auction"], x["__op"]) for x in out]
+
+    with Server(e, wait=0.1) as server:
+        at = f"http://127.0.0.1:{server.port}/mv?view=v"
+        with urlopen(at) as stream:
+            assert read(stream, 2) == [(1, 1, 1), (2, 3, 1)]
+            e.apply({"bids": zset.weighted(pairs(spark, (1, 2)), -1)})
+            assert read(stream, 1) == [(3, 1, -1)]
+        with urlopen(Request(at, headers={"Last-Event-ID": "2"})) as stream:
+            assert read(stream, 1) == [(3, 1, -1)]
+        with pytest.raises(HTTPError):
+            urlopen(at.replace("view=v", "view=w"))

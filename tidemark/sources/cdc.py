@@ -31,10 +31,11 @@ def envelopes(rows: DataFrame, payload: str, source: SourceDef, as_rows: bool =
     return zset.add(zset.weighted(decode(plus, "p", source)), zset.weighted(decode(minus, "p", source), -1))
 
 
-def table_delta(state: DataFrame, rows: DataFrame, payload: str, source: SourceDef, table: str | None = None) -> DataFrame:
+def table_delta(state: DataFrame, rows: DataFrame, payload: str, source: SourceDef, table: str | None = None, after: int | None = None) -> DataFrame:
     """The delta of a keyed table from Debezium envelopes: the last image of each key, by the position in the log.
 
-    Images before a change aren't needed. ``table``: ``schema.name``; envelopes of other tables are passed over.
+    Images before a change aren't needed. ``table``: ``schema.name``; envelopes of other tables are passed over,
+    as are those up to position ``after``, which a snapshot holds.
     """
     body = F.coalesce(F.get_json_object(payload, "$.payload"), F.col(payload))
     at = lambda path: F.get_json_object("body", path)
@@ -44,6 +45,8 @@ def table_delta(state: DataFrame, rows: DataFrame, payload: str, source: SourceD
         e = e.where((at("$.source.table") == name) & (F.lit(not schema) | F.coalesce(at("$.source.schema") == schema, F.lit(False))))
     e = e.withColumn("op", F.when(at("$.op") == "t", F.raise_error(F.lit("truncate has no delta"))).otherwise(at("$.op")))
     order = F.struct(F.coalesce(at("$.source.lsn"), at("$.ts_ms"), F.lit("0")).cast("long").alias("lsn"), F.col("nth"))
+    if after is not None:
+        e = e.where(order["lsn"] > after)
     loose = SourceDef(source.name, [type(c)(c.name, c.type, True) for c in source.columns], source.properties, source.primary_key)
     images = []
     for gone, image in ((False, at("$.after")), (True, at("$.before"))):

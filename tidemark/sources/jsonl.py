@@ -20,21 +20,25 @@ def events(lines: DataFrame, column: str, default_source: str | Column) -> DataF
     return rows.select(F.when(wrapped, source).otherwise(F.col("default")).alias("source"), F.when(wrapped, data).otherwise(F.col("e")).alias("payload"))
 
 
-def decode(rows: DataFrame, payload: str, source: SourceDef, keep: list[str] | None = None) -> DataFrame:
+def decode(rows: DataFrame, payload: str, source: SourceDef, keep: list[str] | None = None, only: set[str | None] | None = None) -> DataFrame:
     """Typed rows: unknown keys are ignored, a missing nullable is null, a missing non-nullable or a wrong type an error.
 
     Timestamps are milliseconds since the epoch or text; decimals are text or numbers. ``keep``: columns of
-    ``rows`` that stay beside the source's.
+    ``rows`` that stay beside the source's. ``only``: columns to parse, the others are null.
     """
     def raw(c) -> T.DataType:
         if isinstance(c.type, T.TimestampNTZType | T.DecimalType | T.DateType | T.StringType):
             return T.StringType()
         return c.type
 
-    schema = T.StructType([T.StructField(c.name, raw(c), True) for c in source.columns])
+    parsed_ones = [c for c in source.columns if only is None or c.name in only] or source.columns[:1]
+    schema = T.StructType([T.StructField(c.name, raw(c), True) for c in parsed_ones])
     parsed = rows.select(F.from_json(F.col(payload), schema, {"mode": "FAILFAST"}).alias("r"), *(keep or []))
     out = [F.col(c) for c in keep or []]
     for c in source.columns:
+        if c not in parsed_ones:
+            out.append(F.lit(None).cast(c.type).alias(c.name))
+            continue
         v = F.col(f"r.`{c.name}`")
         if isinstance(c.type, T.TimestampNTZType):
             ms = F.timestamp_millis(F.when(v.rlike(r"^-?\d+$"), v).cast("long"))

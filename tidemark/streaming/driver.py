@@ -45,10 +45,13 @@ class Watermarks:
 
 
 class Ticker:
-    """A ``foreachBatch`` function for streams of (source string, payload string)."""
+    """A ``foreachBatch`` function for streams of (source string, payload string).
 
-    def __init__(self, engine: Engine, name: str, watermarks: Watermarks | None = None, allowed_lateness_ms: int | None = None):
-        self.engine, self.name, self.marks, self.lateness = engine, name, watermarks or Watermarks(), allowed_lateness_ms
+    ``prune``: columns that no view reads are neither parsed nor stored, but null; a view that is defined later won't find them.
+    """
+
+    def __init__(self, engine: Engine, name: str, watermarks: Watermarks | None = None, allowed_lateness_ms: int | None = None, prune: bool = False):
+        self.engine, self.name, self.marks, self.lateness, self.prune = engine, name, watermarks or Watermarks(), allowed_lateness_ms, prune
         kept = engine.store.manifest.get("watermarks", {}).get(name)
         if kept and not self.marks.seen:
             self.marks.seen, self.marks.value = dict(kept["seen"]), kept["value"]
@@ -62,11 +65,12 @@ class Ticker:
             for s, definition in self.engine.sources.items():  # tables that a source's change data feeds
                 if (feed := definition.properties.get("cdc_source")) in present:
                     rows = batch.where(F.col("source") == feed)
-                    tables[s] = cdc.table_delta(self.engine._state(s), rows, "payload", definition, definition.properties.get("cdc_table"))
+                    tables[s] = cdc.table_delta(self.engine._state(s), rows, "payload", definition, definition.properties.get("cdc_table"), self.engine.store.manifest.get("positions", {}).get(s))
             fed = {d.properties.get("cdc_source") for d in self.engine.sources.values()}
             for s in sorted((present - fed) & set(self.engine.sources)):
                 definition = self.engine.sources[s]
-                rows = decode(batch.where(F.col("source") == s), "payload", definition)
+                only = {*self.engine.needed(s), definition.event_time, definition.primary_key} if self.prune else None
+                rows = decode(batch.where(F.col("source") == s), "payload", definition, only=only)
                 at = definition.event_time
                 if at:
                     ms = F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{at}`)")

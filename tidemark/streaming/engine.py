@@ -63,11 +63,10 @@ class Engine:
         if isinstance(s, ViewDef):
             return self.add_view(s, soft)
         if isinstance(s, SinkDef):
-            if s.view not in self.views:
-                raise DefinitionError(f"no view {s.view}")
-            self.sinks[s.name] = s
-            self.add_sink(s.name, s.view)
-            return None
+            return self.execute_sink(s)
+        if isinstance(s, ddl.Replicate):  # the table as it stands is a view, whose layers are the buffer of its sink
+            self.add_view(ViewDef(s.name, f"SELECT * FROM {s.table}"), soft)
+            return self.execute_sink(SinkDef(s.name, s.name, s.properties))
         if isinstance(s, ddl.Subscribe):
             if s.copy:
                 return self.copy_out(s.view, s.snapshot, s.as_of)
@@ -76,6 +75,12 @@ class Engine:
             return self.describe(s.view)
         return self.query(s.sql)
 
+    def execute_sink(self, s: SinkDef) -> None:
+        if s.view not in self.views:
+            raise DefinitionError(f"no view {s.view}")
+        self.sinks[s.name] = s
+        self.add_sink(s.name, s.view)
+
     def add_source(self, s: SourceDef, soft: bool = False) -> None:
         if s.name in self.sources and soft:
             return
@@ -360,6 +365,26 @@ class Engine:
             self.apply({n: journal.store.delta(f"source.{n}", v) for n in names if v in journal.store.versions(f"source.{n}")}, f"replay:{v}", at)
         return self.store.version
 
+    def needed(self, source: str) -> set[str]:
+        """The columns of a source that the views' scans of it read, by Spark's physical plans over empty folders."""
+        out: set[str] = set()
+        for v, p in self.plans.items():
+            if source not in p.sources:
+                continue
+            tables = {}
+            for n in p.sources:
+                folder = f"{self.store.root}/.empty/{n}"
+                self.store._fs.mkdirs(self.store._path(folder))
+                tables[n] = self.spark.read.schema(_nullable(self.store.schema(self._table(n)))).parquet(folder)
+            plan = self._eval(self.views[v].sql, tables)._jdf.queryExecution().executedPlan()
+            plan = plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+            leaves = plan.collectLeaves()
+            for i in range(leaves.size()):
+                scan = leaves.apply(i)
+                if scan.nodeName().startswith("Scan parquet") and scan.relation().location().rootPaths().toString().endswith(f"/.empty/{source})"):
+                    out |= set(scan.requiredSchema().fieldNames())
+        return out
+
     # reading
     def view(self, name: str, version: int | None = None) -> DataFrame:
         """The rows of a view at a version."""
