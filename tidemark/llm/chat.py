@@ -12,8 +12,9 @@ The mask lists spans (start and length in code points) of the formatted text: on
 assistant text, escaped as it stands there. ``read_back`` takes only the formatted text and the mask.
 
 Defined results: null role and null text are empty; ties in turn go by role, then text; repeated rows
-are turns of their own; rows without a conversation id form one conversation with a null id; an empty
-table gives an empty one.
+are turns of their own; rows without a conversation id form one conversation with a null id; very long
+texts stay whole; only the four named columns are read, so others can't clash; an empty table gives an
+empty one. A conversation is one row, held by one task.
 """
 
 from __future__ import annotations
