@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, least: float = LEAST,
         sized = level.join(sizes, "path")
         sized = sized if last else cut(sized)
         small = sized if last else sized.where(F.col("size") <= bucket)
-        grouped = _parts(small, F.ceil(F.col("size") / (bucket * 4 if last else bucket)), "set").select("path", "lo", "hi", "set", "sketch")
+        grouped = _parts(small, F.ceil(F.col("size") / bucket), "set").select("path", "lo", "hi", "set", "sketch")
         ties.append(cut(grouped.repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi").mapInArrow(_bucket_ties, "u binary, v binary").distinct()))
         if last:
             break
