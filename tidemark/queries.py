@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tidemark import functions
 from tidemark.operators import zset
 from tidemark.operators.asof import asof_join
+from tidemark.operators.band import band_join
 from tidemark.plans.rewrite import to_spark
 from tidemark.streaming.engine import Engine
 from tidemark.types import WEIGHT, Column, SourceDef
@@ -272,6 +273,12 @@ def sql_query(make: Callable[[D], str]) -> Callable[[SparkSession, str], DataFra
     return run
 
 
+def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    sides = [s.select(F.col("s_suppkey").alias(k), F.col("s_acctbal").alias(v)) for k, v in (("a", "x"), ("b", "y"))]
+    return band_join(*sides, "x", "y", 500.0).select("a", "b")
+
+
 # operators that are functions of DataFrames
 
 
@@ -478,7 +485,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{n: sql_query(make) for n, make in SQL.items()},
-    **{f.__name__: f for f in (asof_latest, asof_next, zset_consolidate, zset_diff, zset_join, zset_group)},
+    **{f.__name__: f for f in (join_range, asof_latest, asof_next, zset_consolidate, zset_diff, zset_join, zset_group)},
     **{n: incremental(n) for n in _VIEWS},
     **{n: auction_view(n) for n in _AUCTION_VIEWS},
     "view_asof": view_asof,
