@@ -21,3 +21,7 @@ def test_range_join_is_dealt_out_and_whole(spark, sf, monkeypatch):
     want = a.join(b, (F.col("x") < F.col("y")) & (F.col("y") < F.col("x") + 500)).select("a", "b").collect()
     got = band.band_join(a, b, "x", "y", 500.0).select("a", "b").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 1_000
+
+
+def test_hops_are_dealt_by_the_size_of_the_table(spark, sf):
+    assert QUERIES["auction_q5"](spark, sf).rdd.getNumPartitions() >= 8  # merged into one before
