@@ -25,3 +25,15 @@ def test_range_join_is_dealt_out_and_whole(spark, sf, monkeypatch):
 
 def test_hops_are_dealt_by_the_size_of_the_table(spark, sf):
     assert QUERIES["auction_q5"](spark, sf).rdd.getNumPartitions() >= 8  # merged into one before
+
+
+def test_ties_of_q19_go_by_bidder(spark, sf, tmp_path):
+    folder = str(tmp_path / "ties")
+    shutil.copytree(sf, folder)
+    os.chmod(folder, 0o755)
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").limit(1).drop("l_suppkey").crossJoin(spark.range(40).select((39 - F.col("id")).alias("l_suppkey")))
+    rows.coalesce(1).sortWithinPartitions(F.desc("l_suppkey")).write.mode("overwrite").parquet(f"{folder}/ties.parquet")
+    os.chmod(f"{folder}/lineitem.parquet", 0o644)
+    os.remove(f"{folder}/lineitem.parquet")
+    os.rename(f"{folder}/ties.parquet", f"{folder}/lineitem.parquet")
+    assert sorted((r.rn, r.bidder) for r in QUERIES["auction_q19"](spark, folder).collect()) == [(i + 1, i) for i in range(10)]

@@ -147,7 +147,7 @@ SQL: dict[str, Callable[[D], str]] = {
     "auction_q16": lambda d: _q16_two_steps(d) if d.spark else _q16(d),
     "auction_q17": lambda d: f"SELECT auction, {d.text('date_time')} AS day, count(*) AS total, count(*) FILTER (WHERE price < 1000000) AS low, min(price) AS least, max(price) AS most, {d.div('sum(price)', 'count(price)')} AS mean, CAST(sum(price) AS BIGINT) AS s FROM {bid(d)} b GROUP BY auction, {d.text('date_time')}",
     "auction_q18": lambda d: f"SELECT auction, bidder, price, {d.ms('date_time')} AS t FROM (SELECT *, {_WIN.format('bidder, auction', 'date_time DESC, ln DESC')} AS rn FROM {bid(d)} b) q WHERE rn <= 1",
-    "auction_q19": lambda d: f"SELECT auction, bidder, price, rn FROM (SELECT *, {_WIN.format('auction', 'price DESC, ln')} AS rn FROM {bid(d)} b) q WHERE rn <= 10",
+    "auction_q19": lambda d: f"SELECT auction, bidder, price, rn FROM (SELECT *, {_WIN.format('auction', 'price DESC, ln' + (', bidder' if d.spark else ''))} AS rn FROM {bid(d)} b) q WHERE rn <= 10",
     "auction_q20": lambda d: f"SELECT b.auction, b.bidder, b.price, a.seller, a.reserve FROM {bid(d)} b JOIN {auction(d)} a ON b.auction = a.id WHERE a.category = '5-LOW'",
     "auction_q21": lambda d: f"SELECT page_id, CASE WHEN lower(substr(url, 1, 5)) = 'https' THEN 'secure' ELSE {d.regex('url', '(?:[?&]|^)(utm_source=[a-z]+)', 1)} END AS channel FROM pages WHERE lower(substr(url, 1, 5)) = 'https' OR {d.regex('url', '(?:[?&]|^)(utm_source=[a-z]+)', 1)} IS NOT NULL",
     "auction_q21_bids": lambda d: f"SELECT auction, bidder, price, channel, CASE WHEN lower(channel) = 'a' THEN '0' WHEN lower(channel) = 'n' THEN '1' ELSE {d.regex('url', '(?:&|^|[?])channel_id=([^&]*)', 1)} END AS channel_id FROM (SELECT *, {_URL} AS url FROM {bid(d)} b) u WHERE {d.regex('url', '(?:&|^|[?])channel_id=([^&]*)', 1)} IS NOT NULL OR lower(channel) IN ('a', 'n')",
