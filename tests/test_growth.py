@@ -37,3 +37,44 @@ def test_ties_of_q19_go_by_bidder(spark, sf, tmp_path):
     os.remove(f"{folder}/lineitem.parquet")
     os.rename(f"{folder}/ties.parquet", f"{folder}/lineitem.parquet")
     assert sorted((r.rn, r.bidder) for r in QUERIES["auction_q19"](spark, folder).collect()) == [(i + 1, i) for i in range(10)]
+
+
+SQL = {
+    "counts": "SELECT g, count(*) AS n, min(x) AS lo, max(x) AS hi, sum(x) AS s FROM t GROUP BY g",
+    "best": "SELECT g, x FROM (SELECT g, x, ROW_NUMBER() OVER (PARTITION BY g ORDER BY x DESC) AS rn FROM t) q WHERE rn <= 2",
+    "several": "SELECT g % 7 AS h, count(DISTINCT x) AS d FROM t GROUP BY g % 7",
+    "plain": "SELECT g + 1 AS g1, x FROM t",
+}
+
+
+@pytest.mark.parametrize("name", SQL)
+def test_large_deltas_are_dealt_out(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(zset, "TASK_ROWS", 200)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.minPartitionNum", "spark.sql.files.maxPartitionBytes")
+    own = [spark.conf.get(n, None) for n in names]
+    e = Engine(spark, str(tmp_path / "s"))
+    e.run_program(f"CREATE SOURCE t (g BIGINT, x BIGINT); CREATE MATERIALIZED VIEW v AS {SQL[name]}")
+    rows = spark.range(6_000).select((F.col("id") % 900).alias("g"), F.when(F.col("id") % 11 > 0, F.col("id") * 7 % 5_003 - 2_000).alias("x"))
+    spark.conf.unset(names[1])
+    for i in range(3):
+        z = zset.weighted(rows.where(f"x % 3 = {i} OR x IS NULL AND g % 3 = {i}"))
+        gone = zset.weighted(rows.where("x % 6 = 1 OR x IS NULL AND g % 3 = 1"), -1)
+        e.apply({"t": zset.add(z, gone) if i == 2 else z.drop("__weight")})
+    e.query("SELECT * FROM t").createOrReplaceTempView("t")
+    left = spark.table("t").collect()
+    spark.createDataFrame(left, "g long, x long").createOrReplaceTempView("t")
+    assert sorted(map(repr, e.view("v").collect())) == sorted(map(repr, spark.sql(SQL[name]).collect()))
+    assert [spark.conf.get(n, None) for n in names] == own
+    assert zset.dealt(spark.table("t"), 6_000).rdd.getNumPartitions() == 31
+
+
+def test_settings_deal_out_a_batch(spark, tmp_path, monkeypatch):
+    """Parts of a batch follow its rows: as many before as there are cores, however large."""
+    monkeypatch.setattr(zset, "TASK_ROWS", 100)
+    e = Engine(spark, str(tmp_path / "s"))
+    seen = {}
+    e.run_program("CREATE SOURCE t (g BIGINT, x BIGINT); CREATE MATERIALIZED VIEW v AS SELECT g, count(*) AS n FROM t GROUP BY g")
+    plain = e._delta
+    monkeypatch.setattr(e, "_delta", lambda v, *a: (seen.update({v: int(spark.conf.get("spark.sql.shuffle.partitions"))}), plain(v, *a))[1])
+    e.apply({"t": spark.range(5_000).select((F.col("id") % 50).alias("g"), F.col("id").alias("x"))})
+    assert max(seen.values()) >= 50

@@ -6,6 +6,7 @@ numbers, text or doubles, so that values compare exactly.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -459,7 +460,7 @@ def auction_view(name: str) -> Callable[[SparkSession, str], DataFrame]:
         e = Engine(spark, _root(spark))
         used = {}
         for source, rows, key in ((_BID, b, "auction"), (_AUCTION, a, "id"), (_PERSON, p, "id")):
-            if source.name in sql:
+            if re.search(rf"\b(?:FROM|JOIN) {source.name}\b", sql):  # as a relation: bids have a column auction
                 e.add_source(source)
                 used[source.name] = (rows, key)
         e.execute(f"CREATE MATERIALIZED VIEW v AS {sql}")

@@ -13,9 +13,10 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +32,10 @@ from tidemark.types import WEIGHT, DefinitionError, SinkDef, SourceDef, ViewDef
 
 
 MOST_IDS = 1_024
+#: A delta of at least this part of what it is compared with is not looked up in that by its keys: both are dealt out by key together.
+LARGE = 1 / 8
+#: Bytes of files that one task of a batch reads.
+TASK_BYTES = 16 << 20
 
 
 def _types(schema: T.StructType) -> list[tuple[str, str]]:
@@ -41,6 +46,13 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
 
 
+def _size(df: DataFrame) -> int:
+    """Bytes of what a query reads, as far as Spark knows."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 50)  # unknown is more
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, retain: int = 64, integer_division: bool = False):
         self.spark, self.store, self.integer_division = spark, Store(spark, root, retain), integer_division
@@ -49,6 +61,7 @@ class Engine:
         self.sinks: dict[str, SinkDef] = {}
         self.plans: dict[str, Plan] = {}
         self._removals: set[str] = set()  # what rows go from in this tick
+        self._counts: dict[str, int] = {}  # the rows of this tick's deltas
         functions.register(spark)
 
     # definitions
@@ -214,7 +227,11 @@ class Engine:
                 a, b = plan.sources
                 pairs = [(x, y) for x, y, there in ((deltas.get(a), raw(b), a in deltas), (raw(a), deltas.get(b), b in deltas), (deltas.get(a), deltas.get(b), len(changed) == 2)) if there]
                 terms = [self._eval(plan.weighted, {a: x, b: y}) for x, y in pairs]
+            if not self._removals & set(plan.sources) and (plan.mode == "stateless" or all(self.store.only_adds(self._table(n)) for n in plan.sources)):
+                return zset.add(*terms)  # as a batch of insertions is written
             return zset.consolidate(zset.add(*terms))
+        if plan.mode == "stateless" and not self._removals & set(plan.sources):
+            return signed({n: zset.expand(deltas[n]) for n in changed}, 1)
         if plan.mode == "stateless":
             plus, minus = ({n: zset.parts(deltas[n])[i] for n in changed} for i in (0, 1))
             return zset.consolidate(zset.add(signed(plus, 1), signed(minus, -1)))
@@ -232,6 +249,8 @@ class Engine:
                         terms.append(signed({a: zset.parts(deltas[a])[i], b: zset.parts(deltas[b])[j]}, w * u))
             return zset.consolidate(zset.add(*terms))
         gone = plan.sources[0] in self._removals
+        if plan.mode in ("keyed", "sums", "ranked") and not gone and not self.store.rows(self._table(plan.sources[0])):  # the first rows
+            return zset.consolidate(signed({plan.sources[0]: zset.expand(deltas[plan.sources[0]])}, 1))
         if plan.mode == "sums" and not (gone and plan.extremes):
             return self._sums_delta(view, deltas[plan.sources[0]], version)
         if plan.mode == "ranked" and not gone:  # the rows that were first, and those that come
@@ -251,6 +270,14 @@ class Engine:
             was = {n: self._semi_keyed(Plan("keyed", [n], plan.by[n]), raw(n), touched) for n in plan.sources}
             before = {n: zset.consolidate(z) for n, z in was.items()}
             after = {n: zset.consolidate(zset.add(z, deltas[n])) if n in deltas else before[n] for n, z in was.items()}
+        elif plan.mode in ("keyed", "ranked") and self._large(plan.sources[0], self._table(plan.sources[0])):
+            n = plan.sources[0]
+            if not re.search(r"\bOVER\s*\(", sql, re.IGNORECASE):  # the groups as they are after the batch, less those that the view has
+                z = self._used(zset.add(raw(n), deltas[n]), sql)
+                new = self._eval(sql, {n: zset.expand(z if self.store.only_adds(self._table(n)) and not gone else zset.consolidate(z))})
+                return zset.diff(zset.weighted(new), self.store.snapshot(f"view.{view}", version - 1, raw=True))
+            z = self._together(plan, raw(n), deltas[n])
+            before, after = {n: zset.consolidate(z.where("NOT __come").drop("__come"))}, {n: zset.consolidate(z.drop("__come"))}
         elif plan.mode in ("keyed", "sums", "ranked"):
             n = plan.sources[0]
             was = self._semi_keyed(plan, raw(n), self._keyed(plan, deltas[n]))  # touched keys before anything is summed
@@ -269,8 +296,83 @@ class Engine:
         """Rows that have one of the keys."""
         return zset.semi(z.selectExpr("*", *[f"({k}) AS {x}" for k, x in zip(plan.keys, keys.columns, strict=True)]), keys).drop(*keys.columns)
 
+    def _large(self, name: str, table: str, count: int | None = None) -> bool:
+        """Whether a source's delta is a large part of a table."""
+        return (self._counts[name] if count is None else count) >= LARGE * self.store.rows(table)
+
+    @staticmethod
+    def _used(z: DataFrame, sql: str) -> DataFrame:
+        """The columns that a query may name."""
+        words = {w.lower() for w in re.findall(r"\w+", sql)}
+        return z.select(*[F.col(f"`{c}`") for c in z.columns if c == WEIGHT or not c.isidentifier() or c.lower() in words]) if not re.search(r"(SELECT|,|\.)\s*\*", sql, re.IGNORECASE) else z
+
+    def _together(self, plan: Plan, z: DataFrame, delta: DataFrame) -> DataFrame:
+        """Rows of the keys that a delta touches and the delta's (``__come``), dealt out by key once: what is summed or ranked by key then isn't shuffled again."""
+        both = zset.add(z.withColumn("__come", F.lit(False)), delta.withColumn("__come", F.lit(True)))
+        keys = [F.expr(f"({k})") for k in plan.keys]
+        return both.repartition(*keys).withColumn("__touched", F.max("__come").over(Window.partitionBy(*keys))).where("__touched").drop("__touched")
+
+    def _deal(self, rows: int) -> None:
+        """Shuffles into parts of about ``zset.TASK_ROWS`` from now on; Spark alone merges parts to one a core, of up to 64 MB compressed."""
+        n = min(20_000, rows // zset.TASK_ROWS + 1)
+        conf, least = self.spark.conf, "spark.sql.adaptive.coalescePartitions.minPartitionNum"
+        if n > self.spark.sparkContext.defaultParallelism:
+            conf.set("spark.sql.shuffle.partitions", str(max(n, int(self._own["spark.sql.shuffle.partitions"]))))
+            conf.set(least, str(max(n, int(self._own[least] or 0))))
+            own = self.spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+            conf.set("spark.sql.files.maxPartitionBytes", str(min(own, TASK_BYTES)))
+
+    @contextmanager
+    def _dealt(self, batch: dict[str, DataFrame]) -> Iterator[None]:
+        """The session's own settings come back after a batch."""
+        names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.minPartitionNum", "spark.sql.files.maxPartitionBytes")
+        self._own = {k: self.spark.conf.get(k, None) for k in names}
+        try:
+            self._deal(sum(map(_size, batch.values())) // 16)
+            yield
+        finally:
+            for k, v in self._own.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+
+    def _sums_at_once(self, view: str, delta: DataFrame, version: int) -> DataFrame | None:
+        """``_sums_delta`` in one shuffle, for whole numbers and a large delta: rows that come and the view's layers are summed together.
+
+        The layers' rows of a group cancel each other but for the last, so that their weighted sum is that row, in decimals that can't overflow.
+        """
+        plan, table = self.plans[view], f"view.{view}"
+        fields = {f.name: f.dataType for f in self.store.schema(table).fields}
+        keys, values = list(fields)[: len(plan.keys)], list(fields)[len(plan.keys) :]
+        if not plan.rowwise or not all(isinstance(fields[v], T.IntegralType) for v in values) or not self._large(plan.sources[0], table):
+            return None
+        w, wide = F.col(WEIGHT), "decimal(38,0)"
+        come = self._eval(plan.rowwise, {plan.sources[0]: delta}).toDF(*fields)
+        rows = zset.add(self.store.snapshot(table, version - 1, raw=True).withColumn("__come", F.lit(False)), come.withColumn(WEIGHT, F.lit(1).cast("long")).withColumn("__come", F.lit(True)))
+        held, aggs = ~F.col("__come"), [F.max("__come").alias("__touched")]
+        for v in values:
+            aggs += [F.sum(F.when(held, F.col(v).cast(wide) * w.cast("decimal(3,0)")) if v != "__n" else F.when(held, F.col(v) * w)).cast(fields[v]).alias(f"old_{v}")]
+            if v in plan.extremes:
+                aggs += [F.sum(F.when(held & F.col(v).isNotNull(), w)).alias(f"has_{v}"), (F.min if plan.extremes[v] == "min" else F.max)(F.when(~held, F.col(v))).alias(f"come_{v}")]
+            else:
+                aggs += [F.sum(F.when(~held, F.col(v))).cast(fields[v]).alias(f"come_{v}")]
+        z = rows.groupBy(*keys).agg(*aggs).where("__touched")
+        old, new = [], []
+        for v in values:
+            o, c = F.col(f"old_{v}"), F.col(f"come_{v}")
+            if v in plan.extremes:
+                o = F.when(F.col(f"has_{v}") > 0, o)
+                n = (F.least if plan.extremes[v] == "min" else F.greatest)(o, c)  # nulls are passed over
+            else:
+                n = F.coalesce(o, F.lit(0).cast(fields[v])) + F.coalesce(c, F.lit(0).cast(fields[v]))
+            old.append(o.cast(fields[v]).alias(v))
+            new.append(n.cast(fields[v]).alias(v))
+        pair = z.select(*keys, F.struct(*old).alias("o"), F.struct(*new).alias("n")).where("NOT (o <=> n)")
+        each = F.explode(F.array(F.struct(F.col("o").alias("r"), F.lit(-1).cast("long").alias("w")), F.struct(F.col("n").alias("r"), F.lit(1).cast("long").alias("w"))))
+        return pair.select(*keys, each.alias("e")).where("coalesce(e.r.__n, 0) <> 0").select(*keys, *[F.col(f"e.r.{v}").alias(v) for v in values], F.col("e.w").alias(WEIGHT))
+
     def _sums_delta(self, view: str, delta: DataFrame, version: int) -> DataFrame:
         """Counts and sums of the delta's rows, added to those of the touched groups: their rows go and come."""
+        if (out := self._sums_at_once(view, delta, version)) is not None:
+            return out
         plan = self.plans[view]
         names = self.store.schema(f"view.{view}").fieldNames()
         keys = names[: len(plan.keys)]
@@ -290,9 +392,13 @@ class Engine:
         """
         if batch_id is not None and self._applied(str(batch_id)):
             return self.store.version
+        with self._dealt(batch):
+            return self._apply(batch, batch_id, watermark)
+
+    def _apply(self, batch: dict[str, DataFrame], batch_id: str | None, watermark: int | None) -> int:
         version = self.store.version + 1
         deltas: dict[str, DataFrame] = {}
-        self._removals = set()
+        self._removals, self._counts = set(), {}
         try:
             for name, rows in batch.items():
                 s = self.sources[name]
@@ -305,16 +411,20 @@ class Engine:
                 written, count, negative = self.store.write(f"source.{name}", z if plain else zset.consolidate(z), version)
                 if negative:
                     gone = written.where(F.col(WEIGHT) < 0)
-                    held = zset.semi(self.store.snapshot(f"source.{name}", raw=True), gone.drop(WEIGHT))
-                    zset.check_non_negative(zset.consolidate(zset.add(held, gone)), name)
+                    before = self.store.snapshot(f"source.{name}", raw=True)
+                    self._deal(self.store.rows(f"source.{name}") + count)
+                    if not self._large(name, f"source.{name}", count) or zset.may_lack(zset.add(before, gone)):
+                        held = zset.semi(before, gone.drop(WEIGHT))
+                        zset.check_non_negative(zset.consolidate(zset.add(held, gone)), name)
                 if count:
-                    deltas[name] = written
+                    deltas[name], self._counts[name] = written, count
                     self._removals |= {name} if negative else set()
             for view, plan in self.plans.items() if deltas else ():  # in order of definition: a view reads earlier views only
                 if any(n in deltas for n in plan.sources):
+                    self._deal(sum(self._counts.get(n, 0) + self.store.rows(self._table(n)) for n in plan.sources))
                     written, count, negative = self.store.write(f"view.{view}", self._delta(view, deltas, version), version)
                     if count:
-                        deltas[view] = written
+                        deltas[view], self._counts[view] = written, count
                         self._removals |= {view} if negative else set()
         except BaseException:
             self.store.rollback()

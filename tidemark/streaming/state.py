@@ -95,7 +95,7 @@ class Store:
         bases = [i for i, x in enumerate(layers) if x["base"]]
         layers = layers[bases[-1] :] if bases else layers
         z = self._load(name, [x["path"] for x in layers])
-        return z if len(layers) == 1 or raw else zset.consolidate(z)
+        return z if len(layers) == 1 or raw else zset.consolidate(zset.dealt(z, self.rows(name)))
 
     def empty(self, name: str) -> DataFrame:
         return self._load(name, [])
@@ -107,6 +107,14 @@ class Store:
         weights = [x.get("weight") for x in self.manifest["tables"][name]["layers"] if version is None or x["version"] <= version]
         return None if None in weights else sum(weights)
 
+    def rows(self, name: str) -> int:
+        """How many rows the layers of a table hold; a layer that doesn't say counts by its weight."""
+        return sum(x.get("rows") or abs(x.get("weight") or 0) for x in self.manifest["tables"][name]["layers"])
+
+    def only_adds(self, name: str) -> bool:
+        """Whether no layer of a table takes rows away."""
+        return not any(x.get("negative", True) for x in self.manifest["tables"][name]["layers"])
+
     def oldest(self, name: str) -> int:
         """The oldest version that can be read, and after which all deltas are still there."""
         return max([0, *(x["version"] for x in self.manifest["tables"][name]["layers"] if x["base"])])
@@ -134,6 +142,7 @@ class Store:
         written = self._load(name, [path])
         rows, least, layer["weight"] = _observed(seen) or written.agg(*sums).first()
         negative = rows > 0 and least < 0
+        layer |= {"rows": rows, "negative": negative}
         if not rows:
             self.pending.pop()
             self._fs.delete(self._path(f"{self.root}/{path}"), True)
@@ -162,7 +171,7 @@ class Store:
                 path = f"{name}/base-{oldest}-{uuid.uuid4().hex[:8]}"
                 self.snapshot(name, oldest).write.parquet(f"{self.root}/{path}")
                 weights = [x.get("weight") for x in before]
-                base = {"version": oldest, "path": path, "base": True} | ({"weight": sum(weights)} if None not in weights else {})
+                base = {"version": oldest, "path": path, "base": True, "negative": False} | ({"weight": sum(weights)} if None not in weights else {})
                 t["layers"] = [base, *[x for x in t["layers"] if x["version"] > oldest]]
                 least = min(self.oldest(n) for n in self.manifest["tables"])
                 self.manifest["times"] = {v: x for v, x in self.manifest["times"].items() if int(v) >= least}
