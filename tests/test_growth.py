@@ -78,3 +78,76 @@ def test_settings_deal_out_a_batch(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(e, "_delta", lambda v, *a: (seen.update({v: int(spark.conf.get("spark.sql.shuffle.partitions"))}), plain(v, *a))[1])
     e.apply({"t": spark.range(5_000).select((F.col("id") % 50).alias("g"), F.col("id").alias("x"))})
     assert max(seen.values()) >= 50
+
+
+def test_unset_partitions_are_spark_s_own(spark, tmp_path, monkeypatch):
+    """A large batch in a session that doesn't set its partitions: an error before."""
+    monkeypatch.setattr(zset, "TASK_ROWS", 100)
+    name, e = "spark.sql.shuffle.partitions", Engine(spark, str(tmp_path / "s"))
+    e.run_program("CREATE SOURCE t (g BIGINT); CREATE MATERIALIZED VIEW v AS SELECT g FROM t")
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *default, get=type(spark.conf).get: default[0] if key == name and default else get(self, key, *default))
+    own = spark.conf.get(name)
+    try:
+        with e._dealt({}):
+            e._deal(5_000)
+            assert int(spark.conf.get(name)) == 51
+    finally:
+        spark.conf.set(name, own)
+
+
+def test_near_is_false_only_without_a_match(spark, monkeypatch):
+    z = spark.range(4_000).select(F.when(F.col("id") % 9 > 0, F.col("id")).alias("a"), F.format_string("%d", F.col("id") % 50).alias("b"), F.col("id").alias("c"))
+    some = z.where("c % 40 = 3").select("a", "b")
+    got = {r.c: r["__near"] for r in zset.near(z, some, 100).collect()}
+    assert len(got) == 4_000 and all(got[c] for c in range(3, 4_000, 40)) and sum(got.values()) < 1_000
+    monkeypatch.setattr(zset, "MOST_BITS", 64)  # too full a map: all are near, none is lost
+    assert sum(r["__near"] for r in zset.near(z, some, 100).collect()) > 2_000
+
+
+def _keyed_rows(spark, where: str):
+    rows = spark.range(9_000).select((F.col("id") % 2_999).alias("g"), F.when(F.col("id") % 13 > 0, F.col("id") * 37 % 1_009).alias("x"), F.col("id").alias("i"))
+    return rows.where(where)
+
+
+EXTREMES = "SELECT g, count(*) AS n, min(x) AS lo, max(x) AS hi, sum(x) AS s, max(x) FILTER (WHERE i < 3000) AS f FROM t GROUP BY g"
+
+
+@pytest.mark.parametrize("gone, stay, again", [("g % 4 = 0", "g % 4 > 0", False), ("i % 5 = 0", "TRUE", True), ("i >= 6000 AND i % 2 = 0 OR g % 7 = 0", "TRUE", True)])
+def test_extremes_are_read_again_only_if_one_goes(spark, tmp_path, monkeypatch, gone, stay, again):
+    """Whole groups that go, and groups that lose a row: before, all touched groups were read from the source again."""
+    monkeypatch.setattr(zset, "TASK_ROWS", 500)
+    e, called = Engine(spark, str(tmp_path / "s")), []
+    e.run_program(f"CREATE SOURCE t (g BIGINT, x BIGINT, i BIGINT); CREATE MATERIALIZED VIEW v AS {EXTREMES}")
+    plain, semi = e._reread, e._semi_keyed
+    monkeypatch.setattr(e, "_reread", lambda *a: (called.append((r := plain(*a)) is not None), r)[1])
+    read = []
+    monkeypatch.setattr(e, "_semi_keyed", lambda *a: (read.append(1), semi(*a))[1])
+    e.apply({"t": _keyed_rows(spark, "i % 3 = 0 AND g % 5 < 4")})
+    e.apply({"t": _keyed_rows(spark, "i % 3 = 1 AND g % 5 < 4")})
+    away = _keyed_rows(spark, f"i % 3 <> 2 AND g % 5 < 4 AND ({gone})")
+    e.apply({"t": zset.add(zset.weighted(_keyed_rows(spark, f"(i % 3 = 2 OR g % 5 = 4) AND {stay}")), zset.weighted(away, -1))})
+    assert called == [again] and len(read) == again
+    left = _keyed_rows(spark, f"IF(i % 3 = 2 OR g % 5 = 4, {stay}, NOT ({gone}))")
+    left.createOrReplaceTempView("t")
+    want = sorted(map(repr, spark.sql(EXTREMES).collect()))
+    assert sorted(map(repr, e.view("v").collect())) == want
+    assert sorted(map(repr, zset.expand(e.store.snapshot("view.v")).collect())) == want
+    assert sorted(map(repr, e.query("SELECT g, i FROM t").collect())) == sorted(map(repr, left.select("g", "i").collect()))
+
+
+def test_a_read_shuffles_only_what_removals_meet(spark, tmp_path, monkeypatch):
+    """All layers of a view were shuffled before."""
+    monkeypatch.setattr(zset, "TASK_ROWS", 500)
+    e = Engine(spark, str(tmp_path / "s"))
+    e.run_program("CREATE SOURCE t (g BIGINT, x BIGINT, i BIGINT); CREATE MATERIALIZED VIEW v AS SELECT g, x FROM t")
+    e.apply({"t": _keyed_rows(spark, "i < 8000")})
+    e.apply({"t": zset.add(zset.weighted(_keyed_rows(spark, "i >= 8000")), zset.weighted(_keyed_rows(spark, "i % 50 = 0 AND i < 8000"), -1))})
+    met = []
+    plain = zset.consolidate
+    monkeypatch.setattr(zset, "consolidate", lambda z: (met.append(z.count()), plain(z))[1])
+    rows = e.view("v")
+    assert 320 <= sum(met) < 4_500
+    assert sorted(map(repr, rows.collect())) == sorted(map(repr, _keyed_rows(spark, "NOT (i % 50 = 0 AND i < 8000)").select("g", "x").collect()))
+    bad = zset.weighted(_keyed_rows(spark, "i % 50 = 0 AND i < 8000"), -1)
+    with pytest.raises(zset.NegativeWeight):  # they are gone already
+        e.apply({"t": bad})

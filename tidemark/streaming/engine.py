@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +27,7 @@ from tidemark.plans import ddl
 from tidemark.plans.classify import Plan, classify, relations
 from tidemark.plans.rewrite import asof, asof_joins, to_spark
 from tidemark.plans.steps import Step, steps
-from tidemark.streaming.state import Store
+from tidemark.streaming.state import Store, observed
 from tidemark.types import WEIGHT, DefinitionError, SinkDef, SourceDef, ViewDef
 
 
@@ -62,6 +62,8 @@ class Engine:
         self.plans: dict[str, Plan] = {}
         self._removals: set[str] = set()  # what rows go from in this tick
         self._counts: dict[str, int] = {}  # the rows of this tick's deltas
+        self._gone: dict[str, int] = {}  # those of negative weight
+        self._unsure: tuple[DataFrame, Observation] | None = None  # groups of a step that its sums don't settle, and how many those are
         functions.register(spark)
 
     # definitions
@@ -229,6 +231,8 @@ class Engine:
                 terms = [self._eval(plan.weighted, {a: x, b: y}) for x, y in pairs]
             if not self._removals & set(plan.sources) and (plan.mode == "stateless" or all(self.store.only_adds(self._table(n)) for n in plan.sources)):
                 return zset.add(*terms)  # as a batch of insertions is written
+            if plan.mode == "stateless":
+                return zset.settle(terms[0], terms[0].where(F.col(WEIGHT) < 0), self._gone[changed[0]], self._counts[changed[0]])
             return zset.consolidate(zset.add(*terms))
         if plan.mode == "stateless" and not self._removals & set(plan.sources):
             return signed({n: zset.expand(deltas[n]) for n in changed}, 1)
@@ -251,6 +255,8 @@ class Engine:
         gone = plan.sources[0] in self._removals
         if plan.mode in ("keyed", "sums", "ranked") and not gone and not self.store.rows(self._table(plan.sources[0])):  # the first rows
             return zset.consolidate(signed({plan.sources[0]: zset.expand(deltas[plan.sources[0]])}, 1))
+        if plan.mode == "sums" and (out := self._sums_at_once(view, deltas[plan.sources[0]], version)) is not None:
+            return out
         if plan.mode == "sums" and not (gone and plan.extremes):
             return self._sums_delta(view, deltas[plan.sources[0]], version)
         if plan.mode == "ranked" and not gone:  # the rows that were first, and those that come
@@ -317,7 +323,7 @@ class Engine:
         n = min(20_000, rows // zset.TASK_ROWS + 1)
         conf, least = self.spark.conf, "spark.sql.adaptive.coalescePartitions.minPartitionNum"
         if n > self.spark.sparkContext.defaultParallelism:
-            conf.set("spark.sql.shuffle.partitions", str(max(n, int(self._own["spark.sql.shuffle.partitions"]))))
+            conf.set("spark.sql.shuffle.partitions", str(max(n, self._parts)))
             conf.set(least, str(max(n, int(self._own[least] or 0))))
             own = self.spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
             conf.set("spark.sql.files.maxPartitionBytes", str(min(own, TASK_BYTES)))
@@ -327,6 +333,7 @@ class Engine:
         """The session's own settings come back after a batch."""
         names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.minPartitionNum", "spark.sql.files.maxPartitionBytes")
         self._own = {k: self.spark.conf.get(k, None) for k in names}
+        self._parts = int(self.spark.conf.get(names[0]))  # Spark's own, if the session doesn't say
         try:
             self._deal(sum(map(_size, batch.values())) // 16)
             yield
@@ -338,6 +345,7 @@ class Engine:
         """``_sums_delta`` in one shuffle, for whole numbers and a large delta: rows that come and the view's layers are summed together.
 
         The layers' rows of a group cancel each other but for the last, so that their weighted sum is that row, in decimals that can't overflow.
+        A group that stays while its least or greatest value goes, and nothing as far out comes, is left to ``_reread``.
         """
         plan, table = self.plans[view], f"view.{view}"
         fields = {f.name: f.dataType for f in self.store.schema(table).fields}
@@ -347,32 +355,60 @@ class Engine:
         w, wide = F.col(WEIGHT), "decimal(38,0)"
         come = self._eval(plan.rowwise, {plan.sources[0]: delta}).toDF(*fields)
         rows = zset.add(self.store.snapshot(table, version - 1, raw=True).withColumn("__come", F.lit(False)), come.withColumn(WEIGHT, F.lit(1).cast("long")).withColumn("__come", F.lit(True)))
+        if self.store.rows(table) >= self.store.rows(self._table(plan.sources[0])) / 2:  # groups of a row or two: sums before the shuffle would be as many, and wider
+            rows = rows.repartition(*keys)
         held, aggs = ~F.col("__come"), [F.max("__come").alias("__touched")]
+        plus, minus = F.col("__come") & (F.col("__n") > 0), F.col("__come") & (F.col("__n") < 0)
+        gone = plan.sources[0] in self._removals
         for v in values:
             aggs += [F.sum(F.when(held, F.col(v).cast(wide) * w.cast("decimal(3,0)")) if v != "__n" else F.when(held, F.col(v) * w)).cast(fields[v]).alias(f"old_{v}")]
             if v in plan.extremes:
-                aggs += [F.sum(F.when(held & F.col(v).isNotNull(), w)).alias(f"has_{v}"), (F.min if plan.extremes[v] == "min" else F.max)(F.when(~held, F.col(v))).alias(f"come_{v}")]
+                best = F.min if plan.extremes[v] == "min" else F.max
+                aggs += [F.sum(F.when(held & F.col(v).isNotNull(), w)).alias(f"has_{v}"), best(F.when(plus, F.col(v))).alias(f"come_{v}")]
+                aggs += [best(F.when(minus, F.col(v))).alias(f"gone_{v}")] if gone else []
             else:
                 aggs += [F.sum(F.when(~held, F.col(v))).cast(fields[v]).alias(f"come_{v}")]
         z = rows.groupBy(*keys).agg(*aggs).where("__touched")
-        old, new = [], []
+        old, new, unsure = [], [], F.lit(False)
         for v in values:
             o, c = F.col(f"old_{v}"), F.col(f"come_{v}")
             if v in plan.extremes:
                 o = F.when(F.col(f"has_{v}") > 0, o)
                 n = (F.least if plan.extremes[v] == "min" else F.greatest)(o, c)  # nulls are passed over
+                if gone:
+                    g, least = F.col(f"gone_{v}"), plan.extremes[v] == "min"
+                    inside, out = (g > o, c <= o) if least else (g < o, c >= o)
+                    unsure = unsure | (g.isNotNull() & ~F.coalesce(inside, F.lit(False)) & ~F.coalesce(out, F.lit(False)))
             else:
                 n = F.coalesce(o, F.lit(0).cast(fields[v])) + F.coalesce(c, F.lit(0).cast(fields[v]))
             old.append(o.cast(fields[v]).alias(v))
             new.append(n.cast(fields[v]).alias(v))
-        pair = z.select(*keys, F.struct(*old).alias("o"), F.struct(*new).alias("n")).where("NOT (o <=> n)")
+        pair = z.select(*keys, F.struct(*old).alias("o"), F.struct(*new).alias("n"), unsure.alias("__unsure"))
+        if gone and plan.extremes:
+            left, seen = F.col("__unsure") & (F.col("n.__n") != 0), Observation()
+            self._unsure = pair.where(left).select(*keys, *[F.col(f"o.{v}").alias(v) for v in values]), seen
+            pair = pair.observe(seen, F.count(F.when(left, 1)).alias("unsure")).where(~left)
+        pair = pair.where("NOT (o <=> n)")
         each = F.explode(F.array(F.struct(F.col("o").alias("r"), F.lit(-1).cast("long").alias("w")), F.struct(F.col("n").alias("r"), F.lit(1).cast("long").alias("w"))))
         return pair.select(*keys, each.alias("e")).where("coalesce(e.r.__n, 0) <> 0").select(*keys, *[F.col(f"e.r.{v}").alias(v) for v in values], F.col("e.w").alias(WEIGHT))
 
+    def _reread(self, view: str, deltas: dict[str, DataFrame], version: int) -> DataFrame | None:
+        """The delta of the groups that ``_sums_at_once`` left, from their rows; None if there are none."""
+        plan, (groups, seen) = self.plans[view], self._unsure
+        got = observed(seen)
+        n = groups.count() if got is None else got["unsure"]
+        if not n:
+            return None
+        s, keys = plan.sources[0], groups.columns[: len(plan.keys)]
+        rows = self._used(zset.add(self.store.snapshot(self._table(s), version - 1, raw=True), deltas[s]), self.views[view].sql)
+        if zset.few(n, self.store.rows(self._table(s))):
+            keyed = rows.select("*", *[F.expr(f"({k})").alias(x) for k, x in zip(plan.keys, keys, strict=True)])
+            rows = zset.near(keyed, groups.select(*keys), n).where("__near").drop("__near", *keys)
+        z = zset.consolidate(self._semi_keyed(plan, rows, groups.select(*keys)))
+        return zset.diff_rows(self._eval(self.views[view].sql, {s: zset.expand(z)}), groups)
+
     def _sums_delta(self, view: str, delta: DataFrame, version: int) -> DataFrame:
         """Counts and sums of the delta's rows, added to those of the touched groups: their rows go and come."""
-        if (out := self._sums_at_once(view, delta, version)) is not None:
-            return out
         plan = self.plans[view]
         names = self.store.schema(f"view.{view}").fieldNames()
         keys = names[: len(plan.keys)]
@@ -398,7 +434,7 @@ class Engine:
     def _apply(self, batch: dict[str, DataFrame], batch_id: str | None, watermark: int | None) -> int:
         version = self.store.version + 1
         deltas: dict[str, DataFrame] = {}
-        self._removals, self._counts = set(), {}
+        self._removals, self._counts, self._gone = set(), {}, {}
         try:
             for name, rows in batch.items():
                 s = self.sources[name]
@@ -413,18 +449,26 @@ class Engine:
                     gone = written.where(F.col(WEIGHT) < 0)
                     before = self.store.snapshot(f"source.{name}", raw=True)
                     self._deal(self.store.rows(f"source.{name}") + count)
-                    if not self._large(name, f"source.{name}", count) or zset.may_lack(zset.add(before, gone)):
+                    n = self.store.pending[-1][1]["gone"]
+                    met = zset.near(before, gone.drop(WEIGHT), n).where("__near").drop("__near") if zset.few(n, self.store.rows(f"source.{name}")) else before
+                    if not self._large(name, f"source.{name}", count) or zset.may_lack(zset.add(met, gone)):
                         held = zset.semi(before, gone.drop(WEIGHT))
                         zset.check_non_negative(zset.consolidate(zset.add(held, gone)), name)
                 if count:
-                    deltas[name], self._counts[name] = written, count
+                    deltas[name], self._counts[name], self._gone[name] = written, count, self.store.pending[-1][1]["gone"]
                     self._removals |= {name} if negative else set()
             for view, plan in self.plans.items() if deltas else ():  # in order of definition: a view reads earlier views only
                 if any(n in deltas for n in plan.sources):
                     self._deal(sum(self._counts.get(n, 0) + self.store.rows(self._table(n)) for n in plan.sources))
+                    self._unsure = None
                     written, count, negative = self.store.write(f"view.{view}", self._delta(view, deltas, version), version)
+                    gone = self.store.pending[-1][1]["gone"] if count else 0
+                    if self._unsure is not None and (again := self._reread(view, deltas, version)) is not None:
+                        more, added, fewer = self.store.write(f"view.{view}", again, version)
+                        gone += self.store.pending[-1][1]["gone"] if added else 0
+                        written, count, negative = zset.add(written, more), count + added, negative or fewer
                     if count:
-                        deltas[view], self._counts[view] = written, count
+                        deltas[view], self._counts[view], self._gone[view] = written, count, gone
                         self._removals |= {view} if negative else set()
         except BaseException:
             self.store.rollback()
@@ -500,7 +544,7 @@ class Engine:
         """The rows of a view at a version."""
         if version is not None and not 0 <= version <= self.store.version:
             raise DefinitionError(f"no version {version}")
-        return zset.expand(self.store.snapshot(f"view.{name}", version))
+        return self.store.present(f"view.{name}", version)
 
     def query(self, sql: str, version: int | None = None, args: dict | None = None) -> DataFrame:
         """Any SELECT over views and sources. ``WHERE __mv_version = n`` selects a version."""
@@ -518,7 +562,7 @@ class Engine:
                 (rows.select("*", at) if "__mv_version" in sql else rows).createOrReplaceTempView(n)
         for n in self.sources:
             if re.search(rf"\b{re.escape(n)}\b", sql, re.IGNORECASE):
-                zset.expand(self._state(n, version)).createOrReplaceTempView(n)
+                self.store.present(f"source.{n}", version).createOrReplaceTempView(n)
         return self.spark.sql(self._with_asof(to_spark(sql, self.integer_division, keep_asof=True)), args=args)
 
     def describe(self, name: str | None = None) -> list[tuple]:

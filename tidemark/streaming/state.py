@@ -24,16 +24,19 @@ from tidemark.types import WEIGHT, DefinitionError
 COMPACT = 16
 
 
-def _observed(seen: Observation) -> tuple | None:
+def observed(seen: Observation) -> dict | None:
     """What was counted while writing; None if it isn't told within two seconds."""
     for _ in range(200):
         if seen._jo.future().isCompleted():
-            got = seen.get
-            return got["rows"], got["least"], got["weight"]
+            return seen.get
         time.sleep(0.01)
     return None
 
 
+def _rows(layer: dict) -> int:
+    return layer.get("rows") or abs(layer.get("weight") or 0)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, retain: int = 1):
         self.spark, self.root, self.retain = spark, root.rstrip("/"), max(1, retain)
@@ -88,14 +91,27 @@ class Store:
 
     def snapshot(self, name: str, version: int | None = None, raw: bool = False) -> DataFrame:
         """The consolidated Z-set at a version (the latest by default); ``raw``: its layers' rows as they are."""
+        layers = self._layers(name, version)
+        z = self._load(name, [x["path"] for x in layers])
+        return z if len(layers) == 1 or raw else zset.consolidate(zset.dealt(z, self.rows(name)))
+
+    def _layers(self, name: str, version: int | None) -> list[dict]:
         layers = self.manifest["tables"][name]["layers"]
         if version is not None:
             self.check_kept(name, version)
             layers = [x for x in layers if x["version"] <= version]
         bases = [i for i, x in enumerate(layers) if x["base"]]
-        layers = layers[bases[-1] :] if bases else layers
+        return layers[bases[-1] :] if bases else layers
+
+    def present(self, name: str, version: int | None = None) -> DataFrame:
+        """The plain rows at a version; only what few removals may meet is shuffled."""
+        layers = self._layers(name, version)
+        less = [x for x in layers if x.get("negative", True)]
+        own, gone = sum(map(_rows, layers)), sum(x.get("gone", _rows(x)) for x in less)
         z = self._load(name, [x["path"] for x in layers])
-        return z if len(layers) == 1 or raw else zset.consolidate(zset.dealt(z, self.rows(name)))
+        if len(layers) > 1 and less:
+            z = zset.settle(z, self._load(name, [x["path"] for x in less]).where(F.col(WEIGHT) < 0), gone, own)
+        return zset.expand(z)
 
     def empty(self, name: str) -> DataFrame:
         return self._load(name, [])
@@ -109,7 +125,7 @@ class Store:
 
     def rows(self, name: str) -> int:
         """How many rows the layers of a table hold; a layer that doesn't say counts by its weight."""
-        return sum(x.get("rows") or abs(x.get("weight") or 0) for x in self.manifest["tables"][name]["layers"])
+        return sum(map(_rows, self.manifest["tables"][name]["layers"]))
 
     def only_adds(self, name: str) -> bool:
         """Whether no layer of a table takes rows away."""
@@ -137,12 +153,12 @@ class Store:
         layer = {"version": version, "path": path, "base": False}
         self.pending.append((name, layer))
         seen = Observation()
-        sums = [F.count(F.lit(1)).alias("rows"), F.min(WEIGHT).alias("least"), F.sum(WEIGHT).alias("weight")]
+        sums = [F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col(WEIGHT) < 0, 1)).alias("gone"), F.sum(WEIGHT).alias("weight")]
         delta.select(*[f"`{n}`" for n in names], WEIGHT).observe(seen, *sums).write.parquet(f"{self.root}/{path}")
         written = self._load(name, [path])
-        rows, least, layer["weight"] = _observed(seen) or written.agg(*sums).first()
-        negative = rows > 0 and least < 0
-        layer |= {"rows": rows, "negative": negative}
+        layer |= observed(seen) or written.agg(*sums).first().asDict()
+        rows, negative = layer["rows"], layer["gone"] > 0
+        layer["negative"] = negative
         if not rows:
             self.pending.pop()
             self._fs.delete(self._path(f"{self.root}/{path}"), True)
